@@ -3,17 +3,19 @@
 Word trigrams are counted inside the prose of all responses and at its ends. A response without a closing JSON
 block is cut when its last trigram is frequent inside texts and almost never ends a complete one. The last word may
 itself be cut, so inner trigrams are counted under every prefix of their third word and the join stays an equi-join.
-An open or broken JSON block, a mark at the break and a spike of one length per source count as well.
+An open or broken JSON block and a mark at the break count as well; at a source's length limit one inner occurrence is enough.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trajlake.runtime import table
+from trajlake.runtime import checkpoint, table
 
 #: An inner trigram is frequent from this count on, and almost never terminal up to this share.
 MIN_INSIDE, MAX_END_SHARE = 2, 0.02
+#: The same for the last two words, where the trigram is new.
+MIN_BACKOFF = 10
 #: A length is a limit when a source has this many unfinished texts of it, and this many times the mean of its neighbours.
 MIN_SPIKE, SPIKE_RATIO = 5, 8.0
 
@@ -29,26 +31,27 @@ SELECT src, row_id, source, response, length(response) AS len,
 FROM {responses} WHERE response IS NOT NULL
 """
 
-#: words: prose in tokens, digits masked; two start marks give one-word texts a trigram.
+#: words: prose in tokens, digits masked; two start marks before each text and each sentence keep the context within it.
 WORDS = r"""
 SELECT src, row_id, source, response, len, fences, prose, marked,
-       concat(array('^', '^'), filter(split(regexp_replace(prose, '[0-9]+', '0'), '\\s+'), w -> w <> '')) AS w
+       concat(array('^', '^'), filter(split(regexp_replace(regexp_replace(prose, '[0-9]+', '0'), '(?<=[.!?…»”"“])\\s+', ' ^ ^ '), '\\s+'), w -> w <> '')) AS w
 FROM {parsed} WHERE NOT blank
 """
 
 INSIDE = """
-SELECT a, b, c, sum(inside) AS inside, sum(ended) AS ended FROM (
+SELECT a, b, c, sum(inside) AS inside, sum(ended) AS ended, sum(1 - inside) AS any_end FROM (
   SELECT g.a AS a, g.b AS b, g.c AS c, CASE WHEN g.e THEN 0 ELSE 1 END AS inside,
          CASE WHEN g.e AND fences >= 2 THEN 1 ELSE 0 END AS ended
   FROM (SELECT fences, explode(transform(sequence(3, size(w)), i -> struct(w[i - 3] AS a, w[i - 2] AS b, w[i - 1] AS c, i = size(w) AS e))) AS g
         FROM {words} WHERE size(w) >= 3)
+  WHERE g.c <> '^'
 ) GROUP BY a, b, c
 """
 
 #: ends: the first two words of the last trigram of texts without a block and without a sentence-final sign.
 ENDS = r"""
 SELECT DISTINCT get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b
-FROM {words} WHERE fences = 0 AND size(w) >= 3 AND NOT rtrim(prose) RLIKE '[.!?…»”"“)\\]|*`:]$'
+FROM {words} WHERE fences = 0 AND size(w) >= 3 AND NOT rtrim(prose) RLIKE '[.!?…»”"“)\\]|*`]$'
 """
 
 #: Inner trigrams under each prefix of their third word, only for the word pairs some text ends in.
@@ -59,6 +62,15 @@ SELECT a, b, p AS c, sum(inside) AS inside, sum(CASE WHEN p = c THEN ended ELSE
 ) GROUP BY a, b, p
 """
 
+#: The same under the last two words alone, for word pairs no other text has.
+BACKOFF = """
+SELECT b, p AS c, sum(inside) AS inside, sum(CASE WHEN p = c THEN any_end ELSE 0 END) AS ended FROM (
+  SELECT i.b, i.c, i.inside, i.any_end, explode(transform(sequence(1, length(i.c)), n -> left(i.c, n))) AS p
+  FROM (SELECT b, c, sum(inside) AS inside, sum(any_end) AS any_end FROM {inside} GROUP BY b, c) i
+  LEFT SEMI JOIN {ends} e ON i.b = e.b
+) GROUP BY b, p
+"""
+
 SPIKES = """
 SELECT h.src, h.source, h.len FROM (
   SELECT src, source, len, n, sum(n) OVER (PARTITION BY src, source ORDER BY len RANGE BETWEEN 10 PRECEDING AND 10 FOLLOWING) AS near
@@ -69,19 +81,22 @@ SELECT h.src, h.source, h.len FROM (
 CUT = r"""
 SELECT t.src, t.row_id, t.source FROM (
   SELECT p.src, p.row_id, p.source, p.fences, p.marked, p.prose, p.response, p.len,
-         rtrim(p.prose) RLIKE '[.!?…»”"“)\\]|*`:]$' AS final,
+         rtrim(p.prose) RLIKE '[.!?…»”"“)\\]|*`]$' AS final,
+         p.prose RLIKE '[«„][^«„»“”]*$' OR (length(p.prose) - length(replace(p.prose, '"', ''))) % 2 = 1 AS open_quote,
          get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c
   FROM {words} p
 ) t
 LEFT JOIN {evidence} e ON t.fences = 0 AND t.a = e.a AND t.b = e.b AND t.c = e.c
+LEFT JOIN {backoff} f ON t.fences = 0 AND t.b = f.b AND t.c = f.c
 LEFT JOIN {spikes} s ON t.src = s.src AND t.source <=> s.source AND t.len = s.len
 WHERE t.fences % 2 = 1
    OR t.marked
    OR (t.fences >= 2 AND NOT rtrim(t.response) LIKE '%```')
    OR (t.fences = 0 AND t.prose RLIKE '^\\s*\\{{' AND NOT rtrim(t.prose) LIKE '%}}')
    OR (t.fences = 0 AND t.prose RLIKE '\\n\\s*`{{1,2}}$')
-   OR (t.fences = 0 AND NOT t.final AND s.len IS NOT NULL)
-   OR (t.fences = 0 AND NOT t.final AND e.inside >= {min_inside} AND e.ended <= {max_share} * e.inside)
+   OR (t.fences = 0 AND NOT t.final AND t.open_quote)
+   OR (t.fences = 0 AND NOT t.final AND e.inside >= CASE WHEN s.len IS NULL THEN {min_inside} ELSE 1 END AND e.ended <= {max_share} * e.inside)
+   OR (t.fences = 0 AND NOT t.final AND coalesce(e.inside, 0) = 0 AND f.inside >= {min_backoff} AND f.ended <= 5 * {max_share} * f.inside)
 """
 
 
@@ -102,11 +117,13 @@ def cut_records(responses_df: DataFrame) -> DataFrame:
     names["parsed"] = spark.sql(PARSED, **names)
     names["words"] = spark.sql(WORDS, parsed=names["parsed"])
     names["inside"] = spark.sql(INSIDE, words=names["words"])
+    names["inside"] = checkpoint(names["inside"])
     names["ends"] = spark.sql(ENDS, words=names["words"])
     evidence = spark.sql(EVIDENCE, inside=names["inside"], ends=names["ends"])
+    backoff = spark.sql(BACKOFF, inside=names["inside"], ends=names["ends"])
     spikes = spark.sql(SPIKES.replace("{min_spike}", str(MIN_SPIKE)).replace("{ratio}", str(SPIKE_RATIO)), parsed=names["parsed"])
-    cut = CUT.replace("{min_inside}", str(MIN_INSIDE)).replace("{max_share}", str(MAX_END_SHARE))
-    return spark.sql(cut, words=names["words"], evidence=evidence, spikes=spikes)
+    cut = CUT.replace("{min_inside}", str(MIN_INSIDE)).replace("{max_share}", str(MAX_END_SHARE)).replace("{min_backoff}", str(MIN_BACKOFF))
+    return spark.sql(cut, words=names["words"], evidence=evidence, backoff=backoff, spikes=spikes)
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
