@@ -81,7 +81,7 @@ SELECT h.src, h.source, h.len FROM (
 CUT = r"""
 SELECT t.src, t.row_id, t.source FROM (
   SELECT p.src, p.row_id, p.source, p.fences, p.marked, p.prose, p.response, p.len,
-         rtrim(p.prose) RLIKE '[.!?…»”"“)\\]|*`]$' AS final,
+         rtrim(p.prose) RLIKE '[.!?…»”"“)\\]|*`]$|\\n\\s*[*+-] .*$' AS final,
          p.prose RLIKE '[«„][^«„»“”]*$' OR (length(p.prose) - length(replace(p.prose, '"', ''))) % 2 = 1 AS open_quote,
          get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c
   FROM {words} p
