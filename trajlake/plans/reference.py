@@ -370,7 +370,7 @@ def proposer_windows(spark: SparkSession, d: str) -> DataFrame:
     return j.select("task_id", "run_id", "judgment_id", back.alias("back")).where("back <= 2")
 
 
-@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), w -> w <> '') AS w FROM documents WHERE text IS NOT NULL)
+@query("""WITH t AS (SELECT doc_id, list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL)
     SELECT doc_id, least(len(w), 64) AS n_tokens, array_to_string(w[1:64], ' ') AS head, 64 - least(len(w), 64) AS n_pad FROM t""")
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
     """Truncation to a token budget (white-space tokens) and the padding to it."""
