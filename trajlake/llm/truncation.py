@@ -26,14 +26,14 @@ PARSED = r"""
 SELECT src, row_id, source, response, length(response) AS len,
        (length(response) - length(replace(response, '```', ''))) div 3 AS fences,
        substring_index(response, '```', 1) AS prose,
-       response RLIKE '(…|\\.\\.\\.|�|\\[(…|\\.\\.\\.|cut|truncated)\\])\\s*$' AS marked,
-       length(regexp_replace(response, '[\\s\\p{{Z}}\\p{{Cf}}\\p{{Cc}}]+', '')) = 0 AS blank
+       trim(TRAILING ' \n\r\t' FROM response) RLIKE '(…|\\.\\.\\.|�|\\[(…|\\.\\.\\.|cut|truncated)\\])$' AS marked,
+       NOT response RLIKE '[^\\s\\p{{Z}}\\p{{Cf}}\\p{{Cc}}]' AS blank
 FROM {responses} WHERE response IS NOT NULL
 """
 
 #: words: prose in tokens, digits masked; two start marks before each text and each sentence keep the context within it.
 WORDS = r"""
-SELECT src, row_id, source, response, len, fences, prose, marked,
+SELECT src, row_id, source, len, fences, prose, marked,
        concat(array('^', '^'), filter(split(regexp_replace(regexp_replace(prose, '[0-9]+', '0'), '(?<=[.!?…»”"“])\\s+', ' ^ ^ '), '\\s+'), w -> w <> '')) AS w
 FROM {parsed} WHERE NOT blank
 """
@@ -48,11 +48,8 @@ SELECT a, b, c, sum(inside) AS inside, sum(ended) AS ended, sum(1 - inside) AS a
 ) GROUP BY a, b, c
 """
 
-#: ends: the first two words of the last trigram of texts without a block and without a sentence-final sign.
-ENDS = r"""
-SELECT DISTINCT get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b
-FROM {words} WHERE fences = 0 AND size(w) >= 3 AND NOT rtrim(prose) RLIKE '[.!?…»”"“)\\]|*`]$'
-"""
+#: The word pairs that some loose text ends in.
+ENDS = "SELECT DISTINCT a, b FROM {loose}"
 
 #: Inner trigrams under each prefix of their third word, only for the word pairs some text ends in.
 EVIDENCE = """
@@ -78,25 +75,30 @@ SELECT h.src, h.source, h.len FROM (
 ) h WHERE n >= {min_spike} AND n >= {ratio} * greatest(near - n, 1) / 20
 """
 
-CUT = r"""
-SELECT t.src, t.row_id, t.source FROM (
-  SELECT p.src, p.row_id, p.source, p.fences, p.marked, p.prose, p.response, p.len,
-         rtrim(p.prose) RLIKE '[.!?…»”"“)\\]|*`]$|\\n\\s*[*+-] .*$' AS final,
-         p.prose RLIKE '[«„][^«„»“”]*$' OR (length(p.prose) - length(replace(p.prose, '"', ''))) % 2 = 1 AS open_quote,
-         get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c
-  FROM {words} p
-) t
-LEFT JOIN {evidence} e ON t.fences = 0 AND t.a = e.a AND t.b = e.b AND t.c = e.c
-LEFT JOIN {backoff} f ON t.fences = 0 AND t.b = f.b AND t.c = f.c
+#: Texts whose own form shows the cut; no join.
+BROKEN = r"""
+SELECT src, row_id, source FROM {parsed} WHERE NOT blank AND (
+  fences % 2 = 1 OR marked
+  OR (fences >= 2 AND NOT rtrim(response) LIKE '%```')
+  OR (fences = 0 AND (prose RLIKE '^\\s*\\{{' AND NOT rtrim(prose) LIKE '%}}' OR right(prose, 3) RLIKE '\\n\\s*`{{1,2}}$')))
+"""
+
+#: Texts without a block or a sentence-final sign at their end, with their last three words; few, so the joins are small.
+LOOSE = r"""
+SELECT src, row_id, source, len, get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c,
+       prose RLIKE '[«„][^«„»“”]*$' OR (length(prose) - length(replace(prose, '"', ''))) % 2 = 1 AS open_quote
+FROM {words} WHERE fences = 0 AND NOT marked AND NOT rtrim(prose) RLIKE '[.!?…»”"“)\\]|*`]$'
+  AND NOT substring_index(prose, '\n', -1) RLIKE '^\\s*[*+-] '
+"""
+
+CUT = """
+SELECT t.src, t.row_id, t.source FROM {loose} t
+LEFT JOIN {evidence} e ON t.a = e.a AND t.b = e.b AND t.c = e.c
+LEFT JOIN {backoff} f ON t.b = f.b AND t.c = f.c
 LEFT JOIN {spikes} s ON t.src = s.src AND t.source <=> s.source AND t.len = s.len
-WHERE t.fences % 2 = 1
-   OR t.marked
-   OR (t.fences >= 2 AND NOT rtrim(t.response) LIKE '%```')
-   OR (t.fences = 0 AND t.prose RLIKE '^\\s*\\{{' AND NOT rtrim(t.prose) LIKE '%}}')
-   OR (t.fences = 0 AND t.prose RLIKE '\\n\\s*`{{1,2}}$')
-   OR (t.fences = 0 AND NOT t.final AND t.open_quote)
-   OR (t.fences = 0 AND NOT t.final AND e.inside >= CASE WHEN s.len IS NULL THEN {min_inside} ELSE 1 END AND e.ended <= {max_share} * e.inside)
-   OR (t.fences = 0 AND NOT t.final AND coalesce(e.inside, 0) = 0 AND f.inside >= {min_backoff} AND f.ended <= 5 * {max_share} * f.inside)
+WHERE t.open_quote
+   OR (e.inside >= CASE WHEN s.len IS NULL THEN {min_inside} ELSE 1 END AND e.ended <= {max_share} * e.inside)
+   OR (coalesce(e.inside, 0) = 0 AND f.inside >= {min_backoff} AND f.ended <= 5 * {max_share} * f.inside)
 """
 
 
@@ -118,12 +120,14 @@ def cut_records(responses_df: DataFrame) -> DataFrame:
     names["words"] = spark.sql(WORDS, parsed=names["parsed"])
     names["inside"] = spark.sql(INSIDE, words=names["words"])
     names["inside"] = checkpoint(names["inside"])
-    names["ends"] = spark.sql(ENDS, words=names["words"])
+    names["loose"] = checkpoint(spark.sql(LOOSE, words=names["words"]))
+    names["ends"] = spark.sql(ENDS, loose=names["loose"])
     evidence = spark.sql(EVIDENCE, inside=names["inside"], ends=names["ends"])
     backoff = spark.sql(BACKOFF, inside=names["inside"], ends=names["ends"])
     spikes = spark.sql(SPIKES.replace("{min_spike}", str(MIN_SPIKE)).replace("{ratio}", str(SPIKE_RATIO)), parsed=names["parsed"])
     cut = CUT.replace("{min_inside}", str(MIN_INSIDE)).replace("{max_share}", str(MAX_END_SHARE)).replace("{min_backoff}", str(MIN_BACKOFF))
-    return spark.sql(cut, words=names["words"], evidence=evidence, backoff=backoff, spikes=spikes)
+    found = spark.sql(cut, loose=names["loose"], evidence=evidence, backoff=backoff, spikes=spikes)
+    return found.union(spark.sql(BROKEN, parsed=names["parsed"])).distinct()
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
