@@ -3,15 +3,19 @@
 Truncation is found by sorting: the last sentence of a response that ends without a sentence-final sign stands, in
 sort order, right before its longer versions, so one pass over range-partitioned, sorted distinct sentences compares
 each with its neighbour's prefix. Limits show as spikes in the lengths of a source. Copy, refusal and language rules
-follow. All rules are column expressions; the neighbour pass is the only Python stage.
+follow. Each reply is read once, in an Arrow pass that applies the rules a reply decides alone and keeps, for the rest,
+a few numbers: its language, hashes of what it may copy, and its last sentence. No reply text is shuffled.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm.truncation import MIN_SPIKE, SPIKE_RATIO
@@ -41,16 +45,74 @@ REFUSALS = (
 STAND_INS = r"^(?:none|null|nil|n/?a|nan|undefined|empty|no (?:response|answer|output)|-+|–|—|\.+|…|\?+|_+)$"
 
 
-def squeeze(c: Column) -> Column:
-    """Lower case, anything but letters and digits as one space."""
-    return F.trim(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}]+", " "))
-
-
-def language(words: Column) -> Column:
-    """Language of an array of lower-case words by distinct function words; null where none leads by two."""
-    hits = [F.struct(F.size(F.array_intersect(words, F.array(*map(F.lit, ws)))).alias("n"), F.lit(k).alias("k")) for k, ws in FUNCTION_WORDS.items()]
-    ranked = F.sort_array(F.array(*hits), asc=False)
-    return F.when(ranked[0]["n"] - ranked[1]["n"] >= 2, ranked[0]["k"])
+WORD = re.compile(r"[^\W_]+")
+SHELL = re.compile(r"```(?:json)?|</?[a-z]+>")
+EMPTY = re.compile(r"[{}\[\]\s]*|" + STAND_INS.strip("^$"))
+MARKED = re.compile("(?:…|\\.\\.\\.|\ufffd|\\[(?:…|\\.\\.\\.|cut|truncated)\\])$")
+FINAL = re.compile(r"[.!?…»”\"“)\]|*`]$")
+OPEN_QUOTE = re.compile("[«„][^«„»“”]*$")
+SENTENCE = re.compile(r"(?<=[.!?…»”\"“])\s+|\n+")
+REFUSAL = [re.compile(r) for r in REFUSALS]
+#: Every refusal has one of these.
+REFUSAL_CUES = re.compile(r"rather|cannot|can't|can not|unable|not able|not allowed|won't|will not|policy|rules|guidelines|not something|out of the question|decline|refuse|pass on|refus|peux pas|puis pas|pouvons pas|permettent|ablehnen|nicht helfen|darf ich|negarme|no puedo|no me permiten|me niego|rechazar")
+LANGUAGE_SETS = {k: frozenset(ws) for k, ws in FUNCTION_WORDS.items()}
+#: A reply that copies has at most so many words before the instruction.
+LEAD = 4
+
+
+def language(words: list[str]) -> str | None:
+    """Language by distinct function words; None where none leads by two."""
+    seen = set(words)
+    hits = sorted(((len(seen & ws), k) for k, ws in LANGUAGE_SETS.items()), reverse=True)
+    return hits[0][1] if hits[0][0] - hits[1][0] >= 2 else None
+
+
+def digest(words: list[str]) -> int:
+    return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
+
+
+def copied_forms(words: list[str]) -> list[int]:
+    """Hashes of the word runs of which the reply is a copy, if it is one: once or twice over, after a short lead."""
+    n, out = len(words), []
+    for lead in range(min(LEAD, n - 1) + 1):
+        out.append(digest(words[lead:]))
+        m = n - lead
+        for again in range(min(LEAD - lead, m - 2) + 1):  # the lead may come again before the second copy
+            size, odd = divmod(m - again, 2)
+            if not odd and size and words[lead : lead + size] == words[n - size :]:
+                out.append(digest(words[n - size :]))
+    return out
+
+
+def sentences(prose: str) -> list[str]:
+    return [p.lstrip() for p in SENTENCE.split(re.sub(r"[0-9]+", "0", prose)) if p.strip()]
+
+
+def judged(response: str | None) -> tuple[str | None, str | None, list[int] | None, str | None, str | None]:
+    """(defect, language, copied forms, last sentence of a loose end, last sentence of a sound one) of a reply by itself."""
+    if response is None:
+        return "empty", None, None, None, None
+    core = "".join(c for c in SHELL.sub(" ", response) if unicodedata.category(c)[0] not in "ZC").lower() if len(response) < 200 else "-x-"
+    if EMPTY.fullmatch(core):
+        return "empty", None, None, None, None
+    fences, prose = response.count("```"), response.split("```", 1)[0]
+    low = prose.lower().replace("’", "'")
+    if REFUSAL_CUES.search(low) and any(r.search(low) for r in REFUSAL):
+        return "refusal", None, None, None, None
+    end, tail = response.rstrip(), prose.rstrip()
+    final = bool(FINAL.search(tail)) or bool(re.match(r"\s*[*+-] ", tail.rpartition("\n")[2]) and "\n" in tail)
+    if (
+        fences % 2
+        or MARKED.search(end)
+        or (fences >= 2 and not end.endswith("```"))
+        or (fences == 0 and (re.search(r"\n\s*`{1,2}$", prose) or (prose.lstrip().startswith("{") and not tail.endswith("}"))))
+        or (fences == 0 and not final and (OPEN_QUOTE.search(prose) or prose.count('"') % 2))
+    ):
+        return "truncated", None, None, None, None
+    words = WORD.findall(prose.lower())
+    last = sentences(prose)[-1:] or [None]
+    loose = last[0] if fences == 0 and not final else None
+    return None, language(words), copied_forms(words) if words else None, loose, last[0] if fences else None
 
 
 def neighbour_prefixes(sentences: DataFrame, partitions: int = 0) -> DataFrame:
@@ -88,76 +150,74 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b)
 
 
-def shortened(parsed: DataFrame) -> DataFrame:
-    """(src, row_id) of the responses that break off: the problem 3 cases by neighbouring prefixes and length spikes.
+RULED = "src string, row_id long, task_id long, source string, len int, defect string, lang string, forms array<long>, loose string, sound string"
 
-    Input: src, row_id, source, response, prose, fences, len, blank; texts without a closed block end where prose ends.
-    """
-    mask = F.regexp_replace("prose", r"[0-9]+", "0")
-    split = F.filter(F.split(mask, r"(?<=[.!?…»”\"“])\s+|\n+"), lambda s: F.trim(s) != "")
-    rows = parsed.where("not blank").select("src", "row_id", "source", "fences", "len", "response", "prose", split.alias("ss"))
-    final = F.rtrim("prose").rlike(r"[.!?…»”\"“)\]|*`]$|\n\s*[*+-] .*$")
-    marked = F.col("response").rlike("(…|\\.\\.\\.|�|\\[(…|\\.\\.\\.|cut|truncated)\\])\\s*$")
-    quotes = F.length("prose") - F.length(F.replace("prose", F.lit('"')))
-    open_quote = F.col("prose").rlike("[«„][^«„»“”]*$") | (quotes % 2 == 1)
-    broken = (
-        (F.col("fences") % 2 == 1)
-        | marked
-        | ((F.col("fences") >= 2) & ~F.rtrim("response").endswith("```"))
-        | ((F.col("fences") == 0) & (F.col("prose").rlike(r"\n\s*`{1,2}$") | (F.col("prose").rlike(r"^\s*\{") & ~F.rtrim("prose").endswith("}")) | (~final & open_quote)))
-    )
-    loose = rows.where((F.col("fences") == 0) & ~final & ~marked).select("src", "row_id", "source", "len", F.ltrim(F.element_at("ss", -1)).alias("s"))
-    whole = rows.where("fences >= 2").select(F.explode(F.transform("ss", F.ltrim)).alias("s"), F.lit(0).alias("end")).union(
-        rows.where("fences = 0").select(F.explode(F.transform(F.slice("ss", 1, F.greatest(F.size("ss") - 1, F.lit(0))), F.ltrim)).alias("s"), F.lit(0).alias("end"))
-    )
-    sound = rows.where("fences >= 2 and size(ss) > 0").select(F.ltrim(F.element_at("ss", -1)).alias("s")).distinct()
-    distinct = whole.select("s").union(loose.select("s")).distinct()
-    prefix = neighbour_prefixes(distinct).distinct()
-    lengths = parsed.where("fences < 2 and not blank").groupBy("src", "source", "len").agg(F.count("*").alias("n"))
-    near = F.sum("n").over(Window.partitionBy("src", "source").orderBy("len").rangeBetween(-10, 10))
-    spikes = lengths.withColumn("near", near).where((F.col("n") >= MIN_SPIKE) & (F.col("n") >= SPIKE_RATIO * F.greatest(F.col("near") - F.col("n"), F.lit(1)) / 20))
-    by_text = loose.join(prefix, "s", "left_semi").join(sound, "s", "left_anti").select("src", "row_id")
-    l, k = loose.alias("l"), F.broadcast(spikes.select("src", "source", "len")).alias("k")  # bounded by lengths that recur
-    spiked = l.join(k, F.expr("l.src = k.src and l.source <=> k.source and l.len = k.len"), "left_semi").select("src", "row_id", "s")
-    # a sound reply may have a limit's length: at a spike the last words must not be an ending other replies share
-    shared = loose.groupBy(F.regexp_extract("s", r"(\S+\s+\S+)\s*$", 1).alias("tail")).agg(F.count("*").alias("n")).where("n > 3").select("tail")
-    spiked = spiked.withColumn("tail", F.regexp_extract("s", r"(\S+\s+\S+)\s*$", 1)).join(shared, "tail", "left_anti").select("src", "row_id")
-    return rows.where(broken).select("src", "row_id").union(by_text).union(spiked).distinct()
+
+def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        texts = b.column(4).to_pylist()
+        got = [judged(t) for t in texts]
+        kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string())
+        cols = {n: b.column(i) for i, n in enumerate(("src", "row_id", "task_id", "source"))}
+        cols["len"] = pa.array([len(t) if t is not None else 0 for t in texts], pa.int32())
+        cols |= {n: pa.array([g[i] for g in got], kinds[i]) for i, n in enumerate(("defect", "lang", "forms", "loose", "sound"))}
+        cols["half"] = pa.array([t is not None and t.count("```") < 2 and g[0] != "empty" for t, g in zip(texts, got)])
+        yield pa.record_batch(cols)
+
+
+def _distinct_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sentences of replies, each once a task as far as memory is spared; what ends an unclosed reply is no evidence."""
+    seen: set[str] = set()
+    for b in batches:
+        out = []
+        for t in b.column(0).to_pylist():
+            parts = sentences(t.split("```", 1)[0])
+            for p in parts if "```" in t else parts[:-1]:
+                if p not in seen:
+                    seen.add(p)
+                    out.append(p)
+        if len(seen) > 200_000:
+            seen.clear()
+        yield pa.record_batch({"s": pa.array(out, pa.string())})
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        words = [WORD.findall(t.lower()) for t in b.column(1).to_pylist()]
+        yield pa.record_batch({"task_id": b.column(0), "asked": pa.array([digest(w) if w else None for w in words], pa.int64()), "asked_lang": pa.array([language(w) for w in words], pa.string())})
 
 
 def broken_pairs(replies_df: DataFrame, tasks: DataFrame) -> DataFrame:
-    """(src, row_id, defect) of each broken pair, at most one defect a row, in the order of the rules below.
+    """(src, row_id, defect) of each broken pair, at most one defect a row: empty, refusal, truncated, copied, wrong_language.
 
     A null or blank response is empty; a reply whose task is missing or null is judged without it; equal texts under
     several ids each count; an empty table gives an empty result.
     """
-    body = F.regexp_replace("response", r"(?s)```(?:json)?|</?[a-z]+>|[\s\p{Z}\p{Cf}\p{Cc}]+", " ")
-    parsed = replies_df.select(
-        "src", "row_id", "task_id", "source", "response",
-        F.substring_index("response", "```", 1).alias("prose"),
-        ((F.length("response") - F.length(F.replace("response", F.lit("```")))) / 3).cast("int").alias("fences"),
-        F.length("response").alias("len"),
-        F.coalesce(F.lower(F.trim(body)).rlike(r"^[{}\[\]\s]*$|" + STAND_INS), F.lit(True)).alias("blank"),
-    )
-    one_task = tasks.where("task_id is not null").groupBy("task_id").agg(F.min("instruction").alias("instruction"))
-    pairs = parsed.where("not blank").join(one_task, "task_id", "left")
-    said, asked = squeeze(F.col("prose")), squeeze(F.col("instruction"))
-    rest = F.trim(F.regexp_replace(F.replace(F.concat(F.lit(" "), said, F.lit(" ")), F.concat(F.lit(" "), asked, F.lit(" ")), F.lit(" ")), r"\s+", " "))
-    copied = (F.length(asked) > 0) & said.contains(asked) & (F.size(F.split(rest, " ")) <= 4)
-    low = F.translate(F.lower(F.col("prose")), "’", "'")
-    refusal = F.lit(False)
-    for r in REFUSALS:
-        refusal = refusal | low.rlike(r)
-    spoken = F.when(copied, F.lit(None)).otherwise(language(F.split(said, " ")))
-    ruled = pairs.select(
-        "src", "row_id", copied.alias("copied"), refusal.alias("refusal"), (spoken != language(F.split(asked, " "))).alias("foreign")
-    )
-    cut = shortened(parsed).withColumn("cut", F.lit(True))
-    defect = (
-        F.when(F.col("refusal"), "refusal").when(F.col("cut"), "truncated").when(F.col("copied"), "copied").when(F.col("foreign"), "wrong_language")
-    )
-    found = ruled.join(cut, ["src", "row_id"], "left").select("src", "row_id", defect.alias("defect")).where("defect is not null")
-    return parsed.where("blank").select("src", "row_id", F.lit("empty").alias("defect")).union(found).distinct()
+    ruled = checkpoint(replies_df.select("src", "row_id", "task_id", "source", "response").mapInArrow(_rules, RULED + ", half boolean"))
+    # loose ends: shortened versions by neighbouring prefixes, and rare ends at a source's length limit
+    loose = ruled.where("loose is not null").select("src", "row_id", "source", "len", F.col("loose").alias("s"))
+    whole = replies_df.where("response is not null").select("response").mapInArrow(_distinct_sentences, "s string")
+    ends = checkpoint(loose.select("s").distinct())
+    prefix = neighbour_prefixes(whole.union(ends).distinct()).distinct()
+    sound = ruled.where("sound is not null").select(F.col("sound").alias("s")).join(ends, "s", "left_semi").distinct()
+    lengths = ruled.where("half").groupBy("src", "source", "len").agg(F.count("*").alias("n"))
+    near = F.sum("n").over(Window.partitionBy("src", "source").orderBy("len").rangeBetween(-10, 10))
+    spikes = lengths.withColumn("near", near).where((F.col("n") >= MIN_SPIKE) & (F.col("n") >= SPIKE_RATIO * F.greatest(F.col("near") - F.col("n"), F.lit(1)) / 20))
+    by_text = loose.join(prefix, "s", "left_semi").join(sound, "s", "left_anti").select("src", "row_id")
+    tail = F.regexp_extract("s", r"(\S+\s+\S+)\s*$", 1)
+    shared = loose.groupBy(tail.alias("tail")).agg(F.count("*").alias("n")).where("n > 3").select("tail")
+    l, k = loose.alias("l"), spikes.select("src", "source", "len").alias("k")
+    spiked = l.join(k, F.expr("l.src = k.src and l.source <=> k.source and l.len = k.len"), "left_semi")
+    # a sound reply may have a limit's length: at a spike the last words must not be an ending other replies share
+    spiked = spiked.withColumn("tail", tail).join(shared, "tail", "left_anti").select("src", "row_id")
+    cut = by_text.union(spiked).distinct().select("src", "row_id", F.lit("truncated").alias("defect"))
+    # copies and languages need the task: only its hash and language are joined
+    one_task = tasks.where("task_id is not null and instruction is not null").groupBy("task_id").agg(F.min("instruction").alias("instruction")).mapInArrow(_asked, "task_id long, asked long, asked_lang string")
+    open_rows = ruled.where("defect is null").select("src", "row_id", "task_id", "lang", "forms")
+    paired = open_rows.join(one_task, "task_id")
+    kind = F.when(F.array_contains("forms", F.col("asked")), "copied").when(F.col("lang") != F.col("asked_lang"), "wrong_language")
+    judged_pairs = paired.select("src", "row_id", kind.alias("defect")).where("defect is not null").join(cut, ["src", "row_id"], "left_anti")
+    return ruled.where("defect is not null").select("src", "row_id", "defect").union(cut).union(judged_pairs).distinct()
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
