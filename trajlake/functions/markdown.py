@@ -54,12 +54,14 @@ class Tree(HTMLParser):
             return
         closes = SELF_CLOSING.get(tag)
         if closes:
+            last = None
             for i in range(len(self.open) - 1, 0, -1):
                 if self.open[i].tag in closes:
-                    del self.open[i:]
-                    break
-                if self.open[i].tag in SCOPES:
+                    last = i
+                elif self.open[i].tag in SCOPES:
                     break
+            if last is not None:
+                del self.open[last:]
         node = Node(tag, {k: v if v is not None else "" for k, v in attrs})
         self.open[-1].children.append(node)
         if "id" in node.attrs:
