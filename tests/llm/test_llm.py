@@ -147,3 +147,14 @@ def test_subjects(spark):
     lab = spark.createDataFrame([(i, names[i % 6], "a") for i in range(36)], "doc_id long, subject string, annotator string")
     got = {(r.doc_id, r.subject) for r in subjects.document_subjects(df, lab, names).collect()}
     assert got == {(i, names[i % 6]) for i in range(120)} | {(900, "s0"), (900, "s1")}
+
+
+def test_clusters_select_regions():
+    long = "The mill turns all night and the owner of the mill counts the sacks of flour that the carts bring down to the town."
+    page = lambda foot: f'<body><div class="m"><h1>The mill</h1><p>{long}</p><p>{long} Twice.</p></div><div class="p"><p>Share this page with a friend.</p></div><div class="m"><p>It is old.</p></div>{foot}</body>'
+    foot = '<div class="f"><span><b><i>Brewed by night owls</i></b></span><span><b><i>Find a branch</i></b></span></div>'
+    text = f"# The mill\n{long}\n{long} Twice.\nShare this page with a friend.\nIt is old.\n\nBrewed by night owls\nFind a branch"
+    # words of no list, in a region of the lower cluster: gone; a body that a prompt interrupts goes on
+    assert pages.body_lines(text, page(foot)) == [0, 1, 2, 4]
+    assert pages.body_lines(f"# The mill\n{long}\n\n# Word by word\n{long}", None) == [0, 1, 3, 4]
+    assert pages.body_lines("One line.", None) == [0]

@@ -2,8 +2,9 @@
 
 A page is parsed once. Raw HTML, where present, goes through the standard library's event parser; each text run gets
 its text-to-tag ratio and its block. Lines of the rendered text take the ratio of their text run, or that of their own
-link and heading marks. The ratios are smoothed with a Gaussian and split in two clusters; regions above the threshold
-are content candidates. A line check then drops furniture inside and between regions and keeps titles and links.
+link and heading marks. Lines that are furniture by their words split the page in regions. The ratios are smoothed with
+a Gaussian and split in two clusters; a region stays when it reaches the upper cluster, or stands next to one that does
+and is tied to it by ratio, title or HTML element. Other regions go, whatever their words.
 """
 
 from __future__ import annotations
@@ -129,20 +130,30 @@ def kind_of(line: str, bits: int = 3) -> int:
 
 
 class Runs(HTMLParser):
-    """Text runs of an HTML page with the tags around them and the number of their block."""
+    """Text runs of an HTML page with the tags around them, the number of their block and the sectioning element they stand in."""
 
     BLOCKS = frozenset("nav main article aside footer header section div td table form ul ol".split())
+    SECTIONS = frozenset("nav main article aside footer header section div td form".split())
+    PLAIN = frozenset("div section td form".split())  # without attributes, these say nothing of what they hold
     SKIP = frozenset("script style title noscript".split())
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.tags = self.block = self.skip = 0
-        self.runs: dict[str, tuple[float, int]] = {}
+        #: elements of one start tag in one place are one section: a body that a prompt interrupts is opened again
+        self.sections: dict[tuple[int, str], int] = {}
+        self.start = ""
+        self.open: list[tuple[str, int]] = [("body", 0)]
+        self.runs: dict[str, tuple[float, int, int]] = {}
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         self.tags += 1
         if tag in self.BLOCKS:
             self.block += 1
+            if tag in self.SECTIONS:
+                start = self.start or self.get_starttag_text() or tag
+                at = (self.open[-1][1], start if len(start) > len(tag) + 2 or tag not in self.PLAIN else f"{tag}{self.block}")
+                self.open.append((tag, self.sections.setdefault(at, len(self.sections) + 1)))
         elif tag in self.SKIP:
             self.skip += 1
 
@@ -150,6 +161,11 @@ class Runs(HTMLParser):
         self.tags += 1
         if tag in self.BLOCKS:
             self.block += 1
+            if tag in self.SECTIONS:
+                for i in range(len(self.open) - 1, 0, -1):
+                    if self.open[i][0] == tag:
+                        del self.open[i:]
+                        break
         elif tag in self.SKIP and self.skip:
             self.skip -= 1
 
@@ -162,7 +178,9 @@ class Runs(HTMLParser):
         m = self.OPEN.match(self.rawdata, i)
         if not m or m[1] in self.SLOW or self.cdata_elem:
             return super().parse_starttag(i)
+        self.start = m[0]
         self.handle_starttag(m[1], [])
+        self.start = ""
         return m.end()
 
     def parse_endtag(self, i: int) -> int:
@@ -179,12 +197,12 @@ class Runs(HTMLParser):
     def handle_data(self, data: str) -> None:
         text = data.strip()
         if text and not self.skip:
-            self.runs.setdefault(text, (len(text) / (1.0 + self.tags), self.block))
+            self.runs.setdefault(text, (len(text) / (1.0 + self.tags), self.block, self.open[-1][1]))
             self.tags = 0
 
 
-def html_runs(html: str | None) -> dict[str, tuple[float, int]]:
-    """Text run → (text-to-tag ratio, block); empty where there is no HTML or it cannot be read."""
+def html_runs(html: str | None) -> dict[str, tuple[float, int, int]]:
+    """Text run → (text-to-tag ratio, block, sectioning element); empty where there is no HTML or it cannot be read."""
     if not html:
         return {}
     p = Runs()
@@ -237,6 +255,15 @@ def bare(line: str) -> str:
     return s.lstrip("#*> ").strip()
 
 
+def tied(lines: list[str], ratio: list[float], section: list[int], cut: float, region: tuple[int, int], beside: list[tuple[int, int]]) -> bool:
+    """A region of the lower cluster belongs to one beside it: by a line above the threshold, the page's title, or the same HTML element around both."""
+    i, j = region
+    if any(v > cut for v in ratio[i:j]) or any(s.lstrip().startswith("# ") for s in lines[i:j]):
+        return True
+    near = {section[x] for a, b in beside for x in range(a, b)} - {0}
+    return any(x in near for x in section[i:j])
+
+
 def body_lines(text: str, html: str | None, kinds: dict[str, int] | None = None) -> list[int]:
     """Numbers of the lines of the page's own body, whatever it says. ``kinds`` caches the kinds of repeated lines."""
     lines = text.split("\n")
@@ -259,11 +286,11 @@ def body_lines(text: str, html: str | None, kinds: dict[str, int] | None = None)
             k = kind_of(s, bit)
         kind.append(k)
     runs = html_runs(html)
-    ratio, block = [0.0] * len(lines), [None] * len(lines)
+    ratio, block, section = [0.0] * len(lines), [None] * len(lines), [0] * len(lines)
     for i, s in enumerate(lines):
         hit = runs.get(bare(s)) if runs else None
         if hit:
-            ratio[i], block[i] = hit
+            ratio[i], block[i], section[i] = hit
         else:
             tags = s.count("[id:")
             ratio[i] = (len(s) - 9 * tags) / (1.0 + 2 * tags)
@@ -279,8 +306,8 @@ def body_lines(text: str, html: str | None, kinds: dict[str, int] | None = None)
         elif side and (k in (BLANK, MENU_LINE, FURNITURE, NOTICE) or (k == HEADING and lines[i].lstrip().startswith("# ")) or (home is not None and block[i] is not None and block[i] != home)):
             side = False
         shut.append(side or k in (BLANK, MENU_LINE, SIDE_HEAD, FURNITURE, NOTICE))
-    # regions: runs of open lines; a region stays when it has a core line, a heading or running text
-    keep, i, n = [], 0, len(lines)
+    # regions: runs of open lines
+    regions, i, n = [], 0, len(lines)
     while i < n:
         if shut[i]:
             i += 1
@@ -288,9 +315,19 @@ def body_lines(text: str, html: str | None, kinds: dict[str, int] | None = None)
         j = i
         while j < n and not shut[j]:
             j += 1
-        if any(core[i:j]) or any(k in (HEADING, TEXT) for k in kind[i:j]) or (j - i == 1 and kind[i] == LINK and len(bare(lines[i])) > 20) or keep:
-            keep.extend(range(i, j))
+        regions.append((i, j))
         i = j
+    # the upper cluster; where menus around a short body smooth it away, by the lines' own ratios; in a page of one ratio, all
+    above = [any(core[i:j]) for i, j in regions]
+    if not any(above):
+        above = [any(v > cut for v in ratio[i:j]) for i, j in regions]
+    if not any(above):
+        above = [True] * len(regions)
+    keep = []
+    for r, (i, j) in enumerate(regions):
+        beside = [regions[x] for x in (r - 1, r + 1) if 0 <= x < len(regions) and above[x]]
+        if above[r] or (beside and (not runs or tied(lines, ratio, section, cut, (i, j), beside))):
+            keep.extend(range(i, j))
     return keep
 
 
