@@ -158,3 +158,29 @@ def test_clusters_select_regions():
     assert pages.body_lines(text, page(foot)) == [0, 1, 2, 4]
     assert pages.body_lines(f"# The mill\n{long}\n\n# Word by word\n{long}", None) == [0, 1, 3, 4]
     assert pages.body_lines("One line.", None) == [0]
+
+
+def test_threshold_counts_all_records(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_UNLABELLED", 40)
+    rows = [("observation", i, "a", f"The mill number {i} turns all night.") for i in range(300)] + [("proposal", i, "p", f"Find the mill number {i}.") for i in range(100)]
+    recs = spark.createDataFrame(rows, "src string, row_id long, origin string, text string").repartition(3)
+    got = [(r.src, r.row_id) for r in toxicity.unlabelled_sample(recs).collect()]
+    assert sorted(s for s, _ in got) == ["observation"] * 30 + ["proposal"] * 10
+    assert set(got) == {(r.src, r.row_id) for r in toxicity.unlabelled_sample(recs.repartition(7)).collect()}
+    models = [{"": -1.0, "mill": 0.5, "number": 0.25}, {"": -2.0, "find": 3.0}]
+    halves = spark.createDataFrame([("observation", 0, 1), ("proposal", 1, 0)], "src string, row_id long, half int")
+    want = []
+    for src, i, _, t in rows:
+        z = [toxicity.score_text(t, m, {}) for m in models]
+        want += [z[1]] * 2 if (src, i) == ("observation", 0) else [z[0]] * 2 if (src, i) == ("proposal", 1) else z
+    pos = [-1.5, -0.3, 0.5, 0.5, 1.5]
+    bins = toxicity.all_scores(recs, halves, models, toxicity.np.array(pos))
+    assert sum(n for _, n, _ in bins) == 800
+    assert toxicity.counted_threshold(toxicity.np.array(pos), bins) == toxicity.best_threshold(pos, want)
+    rng = random.Random(4)
+    for _ in range(30):
+        pos, unl = [rng.randint(0, 9) / 2 for _ in range(6)], [rng.randint(-4, 8) / 2 for _ in range(40)]
+        value = lambda t: (sum(x >= t for x in pos) / 6) ** 2 * 41 / (sum(x >= t for x in unl) + 1)  # noqa: E731, B023
+        cut = max(t for t in pos if value(t) >= max(map(value, pos)) - 1e-12)
+        lower = [x for x in pos + unl if x < cut]
+        assert toxicity.best_threshold(pos, unl) == ((cut + max(lower)) / 2 if lower else cut - 1e-6)
