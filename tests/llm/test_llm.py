@@ -184,3 +184,14 @@ def test_threshold_counts_all_records(spark, monkeypatch):
         cut = max(t for t in pos if value(t) >= max(map(value, pos)) - 1e-12)
         lower = [x for x in pos + unl if x < cut]
         assert toxicity.best_threshold(pos, unl) == ((cut + max(lower)) / 2 if lower else cut - 1e-6)
+
+
+def test_duplicated_bodies_have_no_main_lines(spark):
+    thin = "# Green lanterns\nNothing stands here yet, come again."
+    full = "# The mill\nThe mill turns all night."
+    rows = [(i, "a", f"http://h{i}.example/p/{i}", thin, f"<h1>Green lanterns</h1><p>{thin.split(chr(10))[1]}</p>") for i in range(5)] + [(9, "a", "http://h9.example/p/9", full, None)]
+    df = spark.createDataFrame(rows, OBS)
+    assert {(r.obs_id, r.kind) for r in boilerplate.residue_pages(df).collect()} == {(i, "duplicated") for i in range(5)}
+    assert {(r.obs_id, r.line_no) for r in boilerplate.main_lines(df).collect()} == {(9, 0), (9, 1)}
+    assert [(r.obs_id, r.main_text) for r in boilerplate.main_text(df).collect()] == [(9, "The mill\nThe mill turns all night.")]
+    assert boilerplate.main_text(df.limit(4)).count() == 0 and boilerplate.main_text(df.limit(3)).count() == 3

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.llm.pages import WORDS, bare, body_lines, body_verdict
-from trajlake.runtime import table
+from trajlake.runtime import checkpoint, table
 
 #: A body of up to this many words is of low information; it is no page's own when it recurs on this many hosts.
 THIN_WORDS, MIN_HOSTS = 25, 4
@@ -28,18 +28,36 @@ def thin_key(url: str | None, body: list[str]) -> str | None:
     return " ".join(words)
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds: dict[str, int] = {}
     for b in batches:
-        ids, urls, texts = (b.column(i).to_pylist() for i in range(3))
-        verdict, key = [], []
-        for u, t in zip(urls, texts):
+        ids, urls, texts, htmls = (b.column(i).to_pylist() for i in range(4))
+        verdict, key, own, main = [], [], [], []
+        for u, t, h in zip(urls, texts, htmls):
             lines = t.split("\n")
-            body = [bare(lines[i]) for i in body_lines(t, None, kinds)]
+            keep = body_lines(t, h, kinds)
+            body = [bare(lines[i]) for i in keep]
             v = body_verdict(body)
             verdict.append(v)
             key.append(thin_key(u, body) if v == "own" else None)
-        yield pa.record_batch({"obs_id": pa.array(ids, pa.int64()), "verdict": pa.array(verdict, pa.string()), "thin": pa.array(key, pa.string()), "host": b.column(3)})
+            own.append(keep if v == "own" else None)
+            main.append("\n".join(body) if v == "own" else None)
+        yield pa.record_batch({"obs_id": pa.array(ids, pa.int64()), "verdict": pa.array(verdict, pa.string()), "thin": pa.array(key, pa.string()), "host": b.column(4), "lines": pa.array(own, pa.list_(pa.int32())), "main_text": pa.array(main, pa.string())})
+
+
+def judged_pages(observations: DataFrame, holds: str) -> DataFrame:
+    """(obs_id, verdict, thin, host) of every page with a text, and the column ``holds`` if any, lines or main_text, of own
+    bodies: the one judgement problems 1 and 5 share. Pages are parsed once; what follows reads the checkpoint.
+    """
+    host = F.lower(F.regexp_extract("current_url", r"^(?:[a-z+]+:)?//([^/:?#]+)", 1))
+    pages = observations.where("processed_text is not null").select("obs_id", "current_url", "processed_text", "raw_html", host.alias("host"))
+    judged = pages.mapInArrow(_judged, "obs_id long, verdict string, thin string, host string, lines array<int>, main_text string")
+    return checkpoint(judged.select("obs_id", "verdict", "thin", "host", *([holds] if holds else [])))
+
+
+def recurring(seen: DataFrame) -> DataFrame:
+    """(thin) of the thin bodies that stand on several hosts."""
+    return seen.where("thin is not null").groupBy("thin").agg(F.approx_count_distinct("host").alias("hosts")).where(F.col("hosts") >= MIN_HOSTS).select("thin")
 
 
 def residue_pages(observations: DataFrame) -> DataFrame:
@@ -48,54 +66,30 @@ def residue_pages(observations: DataFrame) -> DataFrame:
     kind is field, error or duplicated: a body of few words under a heading that fits neither it nor the address, found
     word by word on several hosts. Null and empty texts are no cases; repeated rows count each.
     """
-    host = F.lower(F.regexp_extract("current_url", r"^(?:[a-z+]+:)?//([^/:?#]+)", 1))
-    pages = observations.where("processed_text is not null").select("obs_id", "current_url", "processed_text", host.alias("host"))
-    seen = pages.mapInArrow(_verdicts, "obs_id long, verdict string, thin string, host string")
+    seen = judged_pages(observations, "")
     direct = seen.where("verdict in ('field', 'error')").select("obs_id", F.col("verdict").alias("kind"))
-    thin = seen.where("thin is not null")
-    many = thin.groupBy("thin").agg(F.approx_count_distinct("host").alias("hosts")).where(F.col("hosts") >= MIN_HOSTS).select("thin")
-    return direct.union(thin.join(many, "thin", "left_semi").select("obs_id", F.lit("duplicated")))
+    return direct.union(seen.where("thin is not null").join(recurring(seen), "thin", "left_semi").select("obs_id", F.lit("duplicated")))
 
 
-def _main_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds: dict[str, int] = {}
-    for b in batches:
-        ids, texts, htmls = (b.column(i).to_pylist() for i in range(3))
-        out_id, out_no = [], []
-        for i, t, h in zip(ids, texts, htmls):
-            keep = body_lines(t, h, kinds)
-            lines = t.split("\n")
-            if keep and body_verdict([bare(lines[k]) for k in keep]) == "own":
-                out_id.extend([i] * len(keep))
-                out_no.extend(keep)
-        yield pa.record_batch({"obs_id": pa.array(out_id, pa.int64()), "line_no": pa.array(out_no, pa.int32())})
+def main_bodies(observations: DataFrame, holds: str) -> DataFrame:
+    """(obs_id, ``holds``) of every page that problem 1 does not exclude; only thin bodies are shuffled."""
+    seen = judged_pages(observations, holds)
+    own = seen.where("verdict = 'own'")
+    single = own.where("thin is not null").join(recurring(seen), "thin", "left_anti")
+    return own.where("thin is null").select("obs_id", holds).union(single.select("obs_id", holds))
 
 
 def main_lines(observations: DataFrame) -> DataFrame:
-    """(obs_id, line_no) of the lines of each page's main body, counted from 0; one pass, no shuffle.
+    """(obs_id, line_no) of the lines of each page's main body, counted from 0.
 
     Pages of null text, and pages that problem 1 excludes, have none; without HTML the rendered text alone decides.
     """
-    return observations.where("processed_text is not null").select("obs_id", "processed_text", "raw_html").mapInArrow(_main_lines, "obs_id long, line_no int")
+    return main_bodies(observations, "lines").select("obs_id", F.explode("lines").alias("line_no"))
 
 
 def main_text(observations: DataFrame) -> DataFrame:
     """(obs_id, main_text): the main body of each page as one text; pages without one are left out."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds: dict[str, int] = {}
-        for b in batches:
-            ids, texts, htmls = (b.column(i).to_pylist() for i in range(3))
-            out_id, out = [], []
-            for i, t, h in zip(ids, texts, htmls):
-                keep, lines = body_lines(t, h, kinds), t.split("\n")
-                body = [bare(lines[k]) for k in keep]
-                if keep and body_verdict(body) == "own":
-                    out_id.append(i)
-                    out.append("\n".join(body))
-            yield pa.record_batch({"obs_id": pa.array(out_id, pa.int64()), "main_text": pa.array(out, pa.string())})
-
-    return observations.where("processed_text is not null").select("obs_id", "processed_text", "raw_html").mapInArrow(cut, "obs_id long, main_text string")
+    return main_bodies(observations, "main_text")
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
