@@ -195,3 +195,11 @@ def test_duplicated_bodies_have_no_main_lines(spark):
     assert {(r.obs_id, r.line_no) for r in boilerplate.main_lines(df).collect()} == {(9, 0), (9, 1)}
     assert [(r.obs_id, r.main_text) for r in boilerplate.main_text(df).collect()] == [(9, "The mill\nThe mill turns all night.")]
     assert boilerplate.main_text(df.limit(4)).count() == 0 and boilerplate.main_text(df.limit(3)).count() == 3
+
+
+def test_long_errors_and_all_filler_cues():
+    assert pages.body_verdict(["Warning: Undefined variable in the page template, incident 0a1b2c3d."] * 30) == "error"
+    assert pages.body_verdict(["Warning: Undefined variable in the page template."] * 30 + ["The mill turns all night and its owner counts the sacks."]) == "own"
+    for s in ("NaN NaN NaN", "foo bar foo bar", "xx xx xx xx", "Add a title here", "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur"):
+        assert pages.residue(s), s
+    assert not pages.residue("The test of the text is set for Monday.")
