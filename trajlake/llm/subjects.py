@@ -1,112 +1,192 @@
-"""Problem 10: the subjects of each document, by propagating hand labels over a sentence similarity graph.
+"""Problem 10: the subjects of each document, by propagating hand labels over a verified sentence similarity graph.
 
-Distinct sentences are joined to their terms (words and pairs of neighbouring words); sentences that share terms are
-neighbours through them. Labels go from the sentences of trusted documents to terms, from terms to all sentences, and
-back, in DataFrame joins. Sentences of labelled documents stay clamped to their document's subjects or to none. The
-graph is verified: a sentence takes a subject only where its terms agree on it beyond chance. A document keeps every
-subject that at least a quarter of its sentences are about.
+Nodes are the sentences of all documents. A star graph links them: every pair of neighbouring content words has a hub,
+the shortest sentence that holds it, and a sentence is a candidate for the hubs of its pairs. An edge stands only if it
+is verified: the words that sentence and hub share must carry at least ``SIMILAR`` of the weight of the lighter of the
+two. So a group of similar sentences costs one edge each, and no group is ever multiplied out into pairs.
+
+Labels start at the sentences of labelled documents and go along edges to hubs and from hubs to all sentences, in
+DataFrame joins. A label is trusted only if the graph does not contradict it. Hubs with few labelled neighbours take
+the subjects of their other neighbours, round by round, until a round changes no hub or ``ROUNDS`` are done; a document
+with a trusted label keeps it. Any other document gets every subject that at least a quarter of its sentences are about.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trajlake.runtime import checkpoint, table
+from trajlake.runtime import table, written
 
-#: Least share of a document's sentences, words of a sentence, sentences of a term, and the largest share of them.
-SHARE, MIN_WORDS, MIN_TERM, STOP_SHARE = 0.25, 3, 2, 0.10
-#: A sentence's subject must be this much likelier than none, in log odds; one term counts at most CLIP, and not below WEAK.
-MARGIN, CLIP, WEAK = 1.0, 3.0, 0.7
-ROUNDS = 2
+#: Least share of a document's sentences, words of a sentence, and the share of all sentences from which a word is a stop word.
+SHARE, MIN_WORDS, STOP_SHARE = 0.25, 3, 0.10
+#: Least shared weight of sentence and hub, as a share of the lighter.
+SIMILAR = 0.3
+#: Document frequencies are counted under this many bits of a word's hash, so their table has one size whatever the corpus.
+FREQUENCY_BITS = 20
+#: Weight of the corpus-wide make-up in a hub's, a hub's votes below which it also listens to unlabelled neighbours, and rounds.
+PRIOR, FEW, ROUNDS = 1.0, 3.0, 6
+#: A subject counts at a hub as far as its share is more than LIFT times that of the corpus; a sentence needs EVIDENCE of it.
+LIFT, EVIDENCE = 2.0, 0.15
 
 
 def sentences_of(documents: DataFrame) -> DataFrame:
-    """(doc_id, sid, words): one row per sentence; headings, link lines and scraps of fewer than three words left out.
+    """(sid, doc_id, words): one row per sentence, words as hashes; headings, link lines and scraps of fewer than three words left out.
 
-    Repeated sentences of a document count each; the whole text counts.
+    Repeated sentences of a document count each; the whole text counts; rows of one doc_id are one document.
     """
-    body = F.regexp_replace("text", r"\\n", "\n")
-    body = F.regexp_replace(body, r"(?m)^#+ .*$", "\n")
-    parts = F.split(body, r"(?<=[.!?;])[\"”»]?\s+|\n+|\"")
-    words = F.split(F.trim(F.regexp_replace(F.lower(F.col("s")), r"[^\p{L}]+", " ")), " ")
-    s = documents.where("text is not null").select("doc_id", F.explode(parts).alias("s")).select("doc_id", words.alias("words"))
-    return s.where(F.size("words") >= MIN_WORDS).withColumn("sid", F.xxhash64("words"))
-
-
-def terms_of(words: Column) -> Column:
-    """Distinct words of three letters or more, and pairs of neighbouring words."""
-    long = F.filter(words, lambda w: F.length(w) > 2)
-    pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(long, pairs))
-
-
-def posterior(names: list[str]) -> list[Column]:
-    """Softmax over none (0) and each subject's summed log odds less the margin."""
-    z = [F.exp(F.least(F.col(f"z{i}") - MARGIN, F.lit(30.0))) for i in range(len(names))]
-    total = F.lit(1.0)
-    for x in z:
-        total = total + x
-    return [(x / total).alias(f"p{i}") for i, x in enumerate(z)]
-
-
-def term_odds(votes: DataFrame, names: list[str]) -> DataFrame:
-    """(tid, l0, l1, …): log odds of each subject given the term, against its share of all votes.
-
-    ``votes``: tid, p0, p1, …, and n, the sentence's weight.
+    body = F.regexp_replace(F.regexp_replace("text", r"\\n", "\n"), r"(?m)^#+ .*$", "\n")
+    parts = F.split(F.lower(body), r"(?<=[.!?;])[\"”»]?\s+|\n+|\"")
+    words = F.filter(F.split("s", r"[^\p{L}]+"), lambda w: w != "")
+    s = documents.where("text is not null").select("doc_id", F.explode(parts).alias("s")).select("doc_id", words.alias("w")).where(F.size("w") >= MIN_WORDS)
+    return s.select(F.monotonically_increasing_id().alias("sid"), "doc_id", F.transform("w", lambda w: F.xxhash64(w)).alias("words"))
+
+
+def word_weights(said: DataFrame) -> np.ndarray:
+    """Weight of every hash bucket of words, in sixteenths: the log of all sentences over those with the word; 0 for stop words."""
+    n, size = max(said.count(), 20), 1 << FREQUENCY_BITS
+    at = F.col("w").bitwiseAND(size - 1)
+    counts = said.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(at.alias("b")).agg(F.count("*").alias("n")).toPandas()  # 2 ** FREQUENCY_BITS rows at most
+    out = np.zeros(size, np.uint8)
+    seen = counts.n.to_numpy(float)
+    out[counts.b.to_numpy(np.int64)] = np.where(seen <= STOP_SHARE * n, np.clip(np.log(n / seen) * 16, 1, 255), 0)
+    return out
+
+
+def content_of(said: DataFrame) -> DataFrame:
+    """``said`` as (sid, doc_id, skey, weight, terms, pairs): words without stop words, each with its weight in the low byte, and
+    neighbouring ones as pairs. ``skey`` orders sentences by length and names their content.
     """
-    sums = votes.groupBy("tid").agg(*[F.sum(F.col(f"p{i}") * F.col("n")).alias(f"s{i}") for i in range(len(names))], F.sum("n").alias("n"))
-    base = votes.agg(*[F.sum(F.col(f"p{i}") * F.col("n")).alias(f"b{i}") for i in range(len(names))], F.sum("n").alias("b")).first()
-    out = []
-    for i in range(len(names)):
-        share = max((base[f"b{i}"] or 0.0) / max(base["b"] or 0.0, 1.0), 1e-6)
-        odds = F.log((F.col(f"s{i}") + 0.5 * share) / ((F.col("n") + 0.5) * share))
-        # terms that say little either way say nothing: many of them must not add up to a subject
-        firm = F.signum(odds) * F.greatest(F.abs(odds) - WEAK, F.lit(0.0))
-        out.append(F.greatest(F.least(firm, F.lit(CLIP)), F.lit(-CLIP)).alias(f"l{i}"))
-    return sums.select("tid", *out)
-
-
-def subject_sentences(documents: DataFrame, labels: DataFrame, names: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sid) of all sentences, and (sid, p0, p1, …) of the distinct ones."""
-    k = range(len(names))
-    said = checkpoint(sentences_of(documents))
-    distinct = said.groupBy("sid").agg(F.first("words").alias("words"), F.count("*").alias("n"))
-    pairs = distinct.select("sid", "n", F.explode(terms_of(F.col("words"))).alias("term")).withColumn("tid", F.xxhash64("term"))
-    total = said.count()
-    used = pairs.groupBy("tid").agg(F.sum("n").alias("df"), F.count("*").alias("sents")).where((F.col("sents") >= MIN_TERM) & (F.col("df") <= STOP_SHARE * max(total, 20))).select("tid")
-    edges = checkpoint(pairs.select("sid", "tid", "n").join(used, "tid", "left_semi"))
-    # seeds: what each labelled document's sentences may be about; a document's label of none allows no subject
+    weights = said.sparkSession.sparkContext.broadcast(word_weights(said))  # 2 ** FREQUENCY_BITS bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w = weights.value
+        for b in batches:
+            if not b.num_rows:
+                continue
+            lists = b.column(2)
+            lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            owner = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
+            with np.errstate(over="ignore"):
+                mass = w[flat & ((1 << FREQUENCY_BITS) - 1)]
+                keep = mass > 0
+                term, owner = (flat[keep] & ~np.int64(255)) | mass[keep], owner[keep]
+                same = owner[1:] == owner[:-1]
+                pair = (term[:-1] * np.int64(-7046029254386353131) + term[1:])[same]
+                n = np.bincount(owner, minlength=b.num_rows)
+                code = np.zeros(b.num_rows, np.int64)
+                np.add.at(code, owner, term * np.int64(-4417276706812531889))
+                skey = (np.minimum(n, 32000).astype(np.int64) << 48) | ((code >> 16) & ((1 << 48) - 1))
+            total = np.bincount(owner, term & 255, minlength=b.num_rows).astype(np.float32)
+
+            def column(values: np.ndarray, at: np.ndarray, rows: int = b.num_rows) -> pa.Array:
+                ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rows))]).astype(np.int32)
+                return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
+
+            yield pa.record_batch({"sid": b.column(0), "doc_id": b.column(1), "skey": pa.array(skey), "weight": pa.array(total), "terms": column(term, owner), "pairs": column(pair, owner[1:][same])})
+
+    kind = dict(said.dtypes)["doc_id"]
+    return said.mapInArrow(run, f"sid long, doc_id {kind}, skey long, weight float, terms array<long>, pairs array<long>")
+
+
+def edges_of(said: DataFrame) -> DataFrame:
+    """(sid, doc_id, hid, sim): the verified edges between sentences and hubs."""
+    content = written(content_of(said))
+    pick = content.select("skey", F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.min("skey").alias("hid"), F.count("*").alias("n")).where("n > 1").select("pair", "hid")
+    pick = written(pick)
+    hubs = content.select("skey", "weight", "terms").join(pick.select(F.col("hid").alias("skey")).distinct(), "skey", "left_semi")
+    hubs = hubs.dropDuplicates(["skey"]).select(F.col("skey").alias("hid"), F.col("weight").alias("hub_weight"), F.col("terms").alias("hub_terms"))
+    near = content.select("sid", "doc_id", "weight", "terms", F.explode(F.array_distinct("pairs")).alias("pair")).join(pick, "pair").select("sid", "doc_id", "weight", "terms", "hid")
+    shared = F.aggregate(F.array_intersect("terms", "hub_terms"), F.lit(0).cast("long"), lambda a, t: a + t.bitwiseAND(255))
+    sim = (shared / F.least("weight", "hub_weight")).cast("float")
+    # a hub reached through several pairs is one edge: its pairs stand in one partial group before the shuffle
+    return written(near.join(hubs, "hid").select("sid", "doc_id", "hid", F.least(sim, F.lit(1.0)).alias("sim")).where(F.col("sim") >= SIMILAR).groupBy("sid", "doc_id", "hid").agg(F.max("sim").alias("sim")))
+
+
+class Graph:
+    """Propagation over the edges of :func:`edges_of` for subjects 0 … k-1."""
+
+    def __init__(self, edges: DataFrame, k: int) -> None:
+        self.edges, self.k = edges, range(k)
+
+    def cols(self, name: str) -> list[str]:
+        return [f"{name}{i}" for i in self.k]
+
+    def total(self, name: str) -> Column:
+        return reduce(lambda a, b: a + b, map(F.col, self.cols(name)), F.lit(0.0))
+
+    def votes(self, voters: DataFrame, on: str, edges: DataFrame) -> DataFrame:
+        """(hid, s0, …, n): what the neighbours in ``voters`` (``on``, p0, …) say; one that has no subject counts in n alone."""
+        said = edges.join(voters, on)
+        return said.groupBy("hid").agg(*[F.sum(F.col("sim") * F.col(f"p{i}")).alias(f"s{i}") for i in self.k], F.sum("sim").alias("n"))
+
+    def sentences(self, edges: DataFrame, hubs: DataFrame, base: list[float]) -> DataFrame:
+        """(doc_id, sid, p0, …): the subject of each sentence that has one, as shares."""
+        excess = lambda i: F.greatest((F.col(f"s{i}") + PRIOR * base[i]) / (F.col("n") + PRIOR) - LIFT * base[i], F.lit(0.0))
+        strong = hubs.select("hid", *[excess(i).alias(f"e{i}") for i in self.k]).where(self.total("e") > 0.02)
+        v = edges.join(strong, "hid").groupBy("doc_id", "sid").agg(*[F.sum(F.col("sim") * F.col(f"e{i}") * F.col(f"e{i}")).alias(f"v{i}") for i in self.k])
+        best = F.greatest(*map(F.col, self.cols("v")), F.lit(0.0))
+        return v.where((best >= EVIDENCE) & (best > 0.5 * self.total("v"))).select("doc_id", "sid", *[(F.col(f"v{i}") / self.total("v")).alias(f"p{i}") for i in self.k])
+
+    def shares(self, sentences: DataFrame, said: DataFrame) -> DataFrame:
+        """(doc_id, h0, …): the share of each document's sentences that each subject has."""
+        hits = sentences.groupBy("doc_id").agg(*[F.sum((F.col(f"p{i}") > 0.5).cast("double")).alias(f"h{i}") for i in self.k])
+        n = said.groupBy("doc_id").agg(F.count("*").alias("n"))
+        return n.join(hits, "doc_id", "left").select("doc_id", *[(F.coalesce(f"h{i}", F.lit(0.0)) / F.col("n")).alias(f"h{i}") for i in self.k])
+
+    def base(self, votes: DataFrame) -> list[float]:
+        r = votes.agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in self.k], F.sum("n").alias("n")).first()
+        return [max((r[f"s{i}"] or 0.0) / max(r["n"] or 0.0, 1.0), 1e-3) for i in self.k]
+
+
+def propagate(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
+    """(doc_id, h0, h1, …): share of each document's sentences about each subject; 1 or 0 where a trusted label settles it."""
+    said = written(sentences_of(documents))
+    g = Graph(edges_of(said), len(names))
+    k = g.k
     lab = labels.where("doc_id is not null and subject is not null").select("doc_id", "subject").distinct()
-    allowed = lab.groupBy("doc_id").agg(*[F.max((F.col("subject") == n).cast("double")).alias(f"a{i}") for i, n in zip(k, names)])
-    allowed = checkpoint(allowed)
-    seeds = said.select("doc_id", "sid").join(allowed, "doc_id").groupBy("sid").agg(*[F.avg(f"a{i}").alias(f"a{i}") for i in k], F.count("*").alias("m"))
-    many = F.greatest(sum((F.col(f"a{i}") for i in k[1:]), F.col("a0")), F.lit(1.0))
-    first = seeds.select("sid", F.col("m").alias("n"), *[(F.col(f"a{i}") / many).alias(f"p{i}") for i in k])
-    odds = checkpoint(term_odds(edges.select("sid", "tid").join(first, "sid"), names))
-    p = None
-    for r in range(ROUNDS):
-        z = edges.join(odds, "tid").groupBy("sid").agg(*[F.sum(f"l{i}").alias(f"z{i}") for i in k], F.first("n").alias("n"))
-        p = z.select("sid", "n", *posterior(names))
-        if r < ROUNDS - 1:
-            # sentences pass their subjects to their documents, labelled documents stay clamped, and documents to all
-            # their sentences: one that stands in documents of all subjects is about none of them
-            docs = said.join(p.drop("n"), "sid").groupBy("doc_id").agg(*[F.avg(f"p{i}").alias(f"p{i}") for i in k])
-            held = docs.join(allowed.select("doc_id", *[(F.col(f"a{i}") / many).alias(f"q{i}") for i in k]), "doc_id", "left")
-            held = held.select("doc_id", *[F.coalesce(F.col(f"q{i}"), F.col(f"p{i}")).alias(f"p{i}") for i in k])
-            votes = said.select("doc_id", "sid").join(held, "doc_id").groupBy("sid").agg(*[F.avg(f"p{i}").alias(f"p{i}") for i in k], F.count("*").alias("n"))
-            odds = checkpoint(term_odds(edges.select("sid", "tid").join(votes, "sid"), names))
-    return said.select("doc_id", "sid"), p.drop("n")
+    seeds = lab.groupBy("doc_id").agg(*[F.max((F.col("subject") == n).cast("double")).alias(f"a{i}") for i, n in zip(k, names)])
+    seeds = written(seeds)
+    even = lambda s: s.select("doc_id", *[(F.col(f"a{i}") / F.greatest(g.total("a"), F.lit(1.0))).alias(f"p{i}") for i in k])
+    # which labels to trust: the graph, asked without holding any sentence to its document's label, must not contradict
+    votes = written(g.votes(even(seeds), "doc_id", g.edges))
+    found = g.shares(g.sentences(g.edges.join(seeds.select("doc_id"), "doc_id", "left_semi"), votes, g.base(votes)), said.join(seeds.select("doc_id"), "doc_id", "left_semi"))
+    against = [F.when(F.col(f"a{i}") > 0, F.col(f"h{i}") < SHARE / 2).otherwise(F.col(f"h{i}") >= SHARE) for i in k]
+    trusted = written(seeds.join(found, "doc_id").where(~reduce(lambda a, b: a | b, against)).select("doc_id", *g.cols("a")))
+    hubs = written(g.votes(even(trusted), "doc_id", g.edges))
+    base, few = g.base(hubs), F.col("n") < FEW
+    # hubs of few labelled neighbours, and those of none, listen to the rest
+    firm = hubs.where(~few)
+    weak = written(g.edges.join(firm.select("hid"), "hid", "left_anti"))
+    around = written(g.edges.join(weak.select("sid").distinct(), "sid", "left_semi"))
+    seeded, heard = hubs.where(few), -1.0
+    for _ in range(ROUNDS):
+        p = g.sentences(around, hubs, base).join(trusted.select("doc_id"), "doc_id", "left_anti").drop("doc_id")
+        new = g.votes(p, "sid", weak)
+        sums = seeded.unionByName(new).groupBy("hid").agg(*[F.sum(c).alias(c) for c in (*g.cols("s"), "n")])
+        hubs = written(firm.unionByName(sums))
+        now = hubs.agg(F.sum(F.round("n", 3)).alias("n")).first()["n"] or 0.0
+        if abs(now - heard) <= 1e-3 * max(now, 1.0):
+            break
+        heard = now
+    shares = g.shares(g.sentences(g.edges, hubs, base), said)
+    held = shares.join(trusted, "doc_id", "left")
+    settle = lambda i: F.when(F.col(f"a{i}").isNull(), F.col(f"h{i}")).when(F.col(f"a{i}") > 0, F.greatest(f"h{i}", F.lit(SHARE))).otherwise(F.least(f"h{i}", F.lit(SHARE / 2)))
+    return held.select("doc_id", *[settle(i).alias(f"h{i}") for i in k])
 
 
 def document_subjects(documents: DataFrame, labels: DataFrame, names: list[str]) -> DataFrame:
     """(doc_id, subject, share) of every subject a document is about; null and empty texts have none.
 
-    Without labels there are no subjects. Copies of a text get the same subjects, each under its own doc_id.
+    Without labels there are no subjects. Copies of a text are nodes of their own; only a trusted label tells them apart.
     """
-    said, p = subject_sentences(documents, labels, names)
-    about = said.join(p, "sid", "left")
-    shares = about.groupBy("doc_id").agg(*[F.avg((F.coalesce(F.col(f"p{i}"), F.lit(0.0)) > 0.5).cast("double")).alias(f"h{i}") for i in range(len(names))])
+    shares = propagate(documents.select("doc_id", "text"), labels, names)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("subject"), F.col(f"h{i}").alias("share")) for i, n in enumerate(names)])).alias("x")
     return shares.select("doc_id", each).select("doc_id", "x.subject", "x.share").where(F.col("share") >= SHARE)
 
