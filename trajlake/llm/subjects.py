@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from trajlake.runtime import table, written
 
 #: Least share of a document's sentences, words of a sentence, and the share of all sentences from which a word is a stop word.
-SHARE, MIN_WORDS, STOP_SHARE = 0.25, 3, 0.10
+SHARE, MIN_WORDS, STOP_SHARE = 0.25, 3, 0.02
 #: Least shared weight of sentence and hub, as a share of the lighter.
 SIMILAR = 0.3
 #: Document frequencies are counted under this many bits of a word's hash, so their table has one size whatever the corpus.
@@ -48,19 +48,19 @@ def sentences_of(documents: DataFrame) -> DataFrame:
 
 
 def word_weights(said: DataFrame) -> np.ndarray:
-    """Weight of every hash bucket of words, in sixteenths: the log of all sentences over those with the word; 0 for stop words."""
+    """Weight of every hash bucket of words, in quarters: the log of all sentences over those with the word; 0 for stop words."""
     n, size = max(said.count(), 20), 1 << FREQUENCY_BITS
     at = F.col("w").bitwiseAND(size - 1)
     counts = said.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(at.alias("b")).agg(F.count("*").alias("n")).toPandas()  # 2 ** FREQUENCY_BITS rows at most
     out = np.zeros(size, np.uint8)
     seen = counts.n.to_numpy(float)
-    out[counts.b.to_numpy(np.int64)] = np.where(seen <= STOP_SHARE * n, np.clip(np.log(n / seen) * 16, 1, 255), 0)
+    out[counts.b.to_numpy(np.int64)] = np.where(seen <= STOP_SHARE * n, np.clip(np.log(n / seen) * 4, 1, 63), 0)
     return out
 
 
 def content_of(said: DataFrame) -> DataFrame:
-    """``said`` as (sid, doc_id, skey, weight, terms, pairs): words without stop words, each with its weight in the low byte, and
-    neighbouring ones as pairs. ``skey`` orders sentences by length and names their content.
+    """``said`` as (sid, doc_id, skey, weight, terms, pairs): words without stop words, each with its weight in the low six
+    bits, and neighbouring ones as pairs. ``skey`` orders sentences by length and names their content.
     """
     weights = said.sparkSession.sparkContext.broadcast(word_weights(said))  # 2 ** FREQUENCY_BITS bytes
 
@@ -76,37 +76,37 @@ def content_of(said: DataFrame) -> DataFrame:
             with np.errstate(over="ignore"):
                 mass = w[flat & ((1 << FREQUENCY_BITS) - 1)]
                 keep = mass > 0
-                term, owner = (flat[keep] & ~np.int64(255)) | mass[keep], owner[keep]
+                full, owner = flat[keep], owner[keep]
+                term = ((full >> 32) & ~np.int64(63)) | mass[keep]
                 same = owner[1:] == owner[:-1]
-                pair = (term[:-1] * np.int64(-7046029254386353131) + term[1:])[same]
+                pair = (full[:-1] * np.int64(-7046029254386353131) + full[1:])[same]
                 n = np.bincount(owner, minlength=b.num_rows)
                 code = np.zeros(b.num_rows, np.int64)
-                np.add.at(code, owner, term * np.int64(-4417276706812531889))
+                np.add.at(code, owner, full * np.int64(-4417276706812531889))
                 skey = (np.minimum(n, 32000).astype(np.int64) << 48) | ((code >> 16) & ((1 << 48) - 1))
-            total = np.bincount(owner, term & 255, minlength=b.num_rows).astype(np.float32)
+            total = np.bincount(owner, term & 63, minlength=b.num_rows).astype(np.float32)
 
             def column(values: np.ndarray, at: np.ndarray, rows: int = b.num_rows) -> pa.Array:
                 ends = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rows))]).astype(np.int32)
                 return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
-            yield pa.record_batch({"sid": b.column(0), "doc_id": b.column(1), "skey": pa.array(skey), "weight": pa.array(total), "terms": column(term, owner), "pairs": column(pair, owner[1:][same])})
+            yield pa.record_batch({"sid": b.column(0), "doc_id": b.column(1), "skey": pa.array(skey), "weight": pa.array(total), "terms": column(term.astype(np.int32), owner), "pairs": column(pair, owner[1:][same])})
 
     kind = dict(said.dtypes)["doc_id"]
-    return said.mapInArrow(run, f"sid long, doc_id {kind}, skey long, weight float, terms array<long>, pairs array<long>")
+    return said.mapInArrow(run, f"sid long, doc_id {kind}, skey long, weight float, terms array<int>, pairs array<long>")
 
 
 def edges_of(said: DataFrame) -> DataFrame:
-    """(sid, doc_id, hid, sim): the verified edges between sentences and hubs."""
+    """(sid, doc_id, hid, sim): the verified edges between sentences and hubs; a hub found through several pairs counts by each."""
     content = written(content_of(said))
     pick = content.select("skey", F.explode(F.array_distinct("pairs")).alias("pair")).groupBy("pair").agg(F.min("skey").alias("hid"), F.count("*").alias("n")).where("n > 1").select("pair", "hid")
     pick = written(pick)
     hubs = content.select("skey", "weight", "terms").join(pick.select(F.col("hid").alias("skey")).distinct(), "skey", "left_semi")
     hubs = hubs.dropDuplicates(["skey"]).select(F.col("skey").alias("hid"), F.col("weight").alias("hub_weight"), F.col("terms").alias("hub_terms"))
     near = content.select("sid", "doc_id", "weight", "terms", F.explode(F.array_distinct("pairs")).alias("pair")).join(pick, "pair").select("sid", "doc_id", "weight", "terms", "hid")
-    shared = F.aggregate(F.array_intersect("terms", "hub_terms"), F.lit(0).cast("long"), lambda a, t: a + t.bitwiseAND(255))
+    shared = F.aggregate(F.array_intersect("terms", "hub_terms"), F.lit(0), lambda a, t: a + t.bitwiseAND(63))
     sim = (shared / F.least("weight", "hub_weight")).cast("float")
-    # a hub reached through several pairs is one edge: its pairs stand in one partial group before the shuffle
-    return written(near.join(hubs, "hid").select("sid", "doc_id", "hid", F.least(sim, F.lit(1.0)).alias("sim")).where(F.col("sim") >= SIMILAR).groupBy("sid", "doc_id", "hid").agg(F.max("sim").alias("sim")))
+    return written(near.join(hubs, "hid").select("sid", "doc_id", "hid", F.least(sim, F.lit(1.0)).alias("sim")).where(F.col("sim") >= SIMILAR))
 
 
 class Graph:
