@@ -2,14 +2,29 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per session, for a driver that has it on its own path only."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_trajlake_shipped", False):
+        here = Path(__file__).resolve().parent
+        folder = tempfile.mkdtemp(prefix="trajlake-code-")  # on the driver, whose file server sends it to the executors
+        atexit.register(shutil.rmtree, folder, True)
+        sc.addPyFile(shutil.make_archive(f"{folder}/trajlake", "zip", here.parent, here.name))
+        sc._trajlake_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` below ``sf_dir``."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
