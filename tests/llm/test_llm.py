@@ -139,14 +139,22 @@ def test_leakage_against_brute_force(spark):
     assert leakage.words("<b>Éc​ole</b> &amp; Ligne") == ["ecole", "ligne"]
 
 
-def test_subjects(spark):
+def test_subjects(spark, monkeypatch):
+    monkeypatch.setattr(subjects, "STOP_SHARE", 0.2)  # the fixture has few words
     names = ["s0", "s1", "s2", "s3", "s4", "s5"]
     line = lambda k, i: f"It is said that {'abcdef'[k] * 4}{'xyz'[i % 3]} {'abcdef'[k] * 3}{'uvw'[i % 3]}ed near {'mnopqrst'[i % 8] * 5}."
     docs = [(i, " ".join(line(i % 6, i + j) for j in range(4))) for i in range(120)] + [(900, line(0, 0) + " " + line(1, 1)), (901, None), (902, "")]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     lab = spark.createDataFrame([(i, names[i % 6], "a") for i in range(36)], "doc_id long, subject string, annotator string")
-    got = {(r.doc_id, r.subject) for r in subjects.document_subjects(df, lab, names).collect()}
-    assert got == {(i, names[i % 6]) for i in range(120)} | {(900, "s0"), (900, "s1")}
+    want = {(i, names[i % 6]) for i in range(120)} | {(900, "s0"), (900, "s1")}
+    assert {(r.doc_id, r.subject) for r in subjects.document_subjects(df, lab, names).collect()} == want
+    # one wrong label is not trusted; a text that is a third of all rows keeps its subject; a document without its own labels is reached
+    hot = spark.createDataFrame([(1000 + i, docs[3][1]) for i in range(60)], "doc_id long, text string")
+    more = lab.where("doc_id <> 7").unionByName(spark.createDataFrame([(7, "s5", "b"), (901, None, None)], lab.schema))
+    got = {(r.doc_id, r.subject) for r in subjects.document_subjects(df.unionByName(hot), more, names).collect()}
+    assert got == want | {(1000 + i, names[3]) for i in range(60)}
+    assert subjects.document_subjects(df, lab.limit(0), names).count() == 0
+    assert subjects.document_subjects(df.limit(0), lab, names).count() == 0
 
 
 def test_clusters_select_regions():
@@ -167,23 +175,37 @@ def test_threshold_counts_all_records(spark, monkeypatch):
     got = [(r.src, r.row_id) for r in toxicity.unlabelled_sample(recs).collect()]
     assert sorted(s for s, _ in got) == ["observation"] * 30 + ["proposal"] * 10
     assert set(got) == {(r.src, r.row_id) for r in toxicity.unlabelled_sample(recs.repartition(7)).collect()}
-    models = [{"": -1.0, "mill": 0.5, "number": 0.25}, {"": -2.0, "find": 3.0}]
-    halves = spark.createDataFrame([("observation", 0, 1), ("proposal", 1, 0)], "src string, row_id long, half int")
-    want = []
-    for src, i, _, t in rows:
-        z = [toxicity.score_text(t, m, {}) for m in models]
-        want += [z[1]] * 2 if (src, i) == ("observation", 0) else [z[0]] * 2 if (src, i) == ("proposal", 1) else z
-    pos = [-1.5, -0.3, 0.5, 0.5, 1.5]
-    bins = toxicity.all_scores(recs, halves, models, toxicity.np.array(pos))
-    assert sum(n for _, n, _ in bins) == 800
-    assert toxicity.counted_threshold(toxicity.np.array(pos), bins) == toxicity.best_threshold(pos, want)
+    scores = recs.selectExpr("src", "row_id", "cast(row_id % 7 as double) as score")
+    known = spark.createDataFrame([("observation", 0), ("proposal", 1)], "src string, row_id long")
+    pos, want = toxicity.np.array([1.0, 3.0, 5.0, 5.0, 6.5]), [float(i % 7) for src, i, _, _ in rows if (src, i) not in {("observation", 0), ("proposal", 1)}]
+    assert toxicity.threshold(scores, pos, known, -1.0) == toxicity.best_threshold(list(pos), want, -1.0)
     rng = random.Random(4)
     for _ in range(30):
-        pos, unl = [rng.randint(0, 9) / 2 for _ in range(6)], [rng.randint(-4, 8) / 2 for _ in range(40)]
-        value = lambda t: (sum(x >= t for x in pos) / 6) ** 2 * 41 / (sum(x >= t for x in unl) + 1)  # noqa: E731, B023
-        cut = max(t for t in pos if value(t) >= max(map(value, pos)) - 1e-12)
-        lower = [x for x in pos + unl if x < cut]
-        assert toxicity.best_threshold(pos, unl) == ((cut + max(lower)) / 2 if lower else cut - 1e-6)
+        pos, unl, base = [rng.randint(0, 9) / 2 for _ in range(6)], [rng.randint(-4, 8) / 2 for _ in range(40)], rng.choice([-9.0, 1.0])
+        can = sorted({x for x in pos if x > base})
+        r = {t: sum(x >= t for x in pos) / 6 for t in can}
+        f = {t: (sum(x >= t for x in unl) + 1) / 41 for t in can}
+        if not can:
+            assert toxicity.best_threshold(pos, unl, base) >= max(unl)
+            continue
+        share = min(f[t] / r[t] for t in can if r[t] >= min(toxicity.ENOUGH, max(r.values())))
+        p = {t: min(1.0, share * r[t] / f[t]) for t in can}
+        value = {t: 2 * p[t] * r[t] / (p[t] + r[t]) for t in can}
+        cut = max(t for t in can if value[t] >= max(value.values()) - 1e-12)
+        lower = [x for x in pos + unl + [base] if x < cut]
+        assert toxicity.best_threshold(pos, unl, base) == (cut + max(lower)) / 2
+
+
+def test_toxicity_does_not_depend_on_partitions(spark):
+    rng = random.Random(8)
+    rows = [("observation", i, "a", f"The mill number {rng.randint(1, 60)} turns all night. The owner likes figure {i % 9}." + (" You are a worthless idiot." if i % 25 == 0 else "")) for i in range(400)]
+    rows += [("proposal", 7, "p", ""), ("proposal", 8, "p", "Find the mill. " * 3000)]
+    recs = spark.createDataFrame(rows, "src string, row_id long, origin string, text string")
+    labels = spark.createDataFrame([("observation", i, "abuse" if i % 25 == 0 else "none", "x") for i in range(0, 300, 5)] + [("observation", None, None, None)], "src string, row_id long, category string, annotator string")
+    got = [{(r.src, r.row_id) for r in toxicity.scored(recs.repartition(n), labels).where("flagged").collect()} for n in (1, 23)]
+    assert got[0] == got[1] == {("observation", i) for i in range(0, 400, 25)}
+    assert toxicity.scored(recs, labels.limit(0)).where("flagged").count() == 0
+    assert toxicity.scored(recs.limit(0), labels).count() == 0
 
 
 def test_duplicated_bodies_have_no_main_lines(spark):

@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from trajlake.runtime import table, written
 
-#: Least share of a document's sentences, words of a sentence, and the share of all sentences from which a word is a stop word.
-SHARE, MIN_WORDS, STOP_SHARE = 0.25, 3, 0.02
+#: Least share of a document's sentences, words of a sentence, and the share of all sentences from which a word is a stop word; copies count once.
+SHARE, MIN_WORDS, STOP_SHARE = 0.25, 3, 0.03
 #: Least shared weight of sentence and hub, as a share of the lighter.
 SIMILAR = 0.3
 #: Document frequencies are counted under this many bits of a word's hash, so their table has one size whatever the corpus.
@@ -48,10 +48,11 @@ def sentences_of(documents: DataFrame) -> DataFrame:
 
 
 def word_weights(said: DataFrame) -> np.ndarray:
-    """Weight of every hash bucket of words, in quarters: the log of all sentences over those with the word; 0 for stop words."""
-    n, size = max(said.count(), 20), 1 << FREQUENCY_BITS
+    """Weight of every hash bucket of words, in quarters: the log of all different sentences over those with the word; 0 for stop words."""
+    first = written(said.groupBy(F.xxhash64("words").alias("code")).agg(F.min("sid").alias("sid")))  # a text that is a third of the corpus must not make its words stop words
+    n, size = max(first.count(), 20), 1 << FREQUENCY_BITS
     at = F.col("w").bitwiseAND(size - 1)
-    counts = said.select(F.explode(F.array_distinct("words")).alias("w")).groupBy(at.alias("b")).agg(F.count("*").alias("n")).toPandas()  # 2 ** FREQUENCY_BITS rows at most
+    counts = said.select("sid", "words").join(first.select("sid"), "sid", "left_semi").select(F.explode(F.array_distinct("words")).alias("w")).groupBy(at.alias("b")).agg(F.count("*").alias("n")).toPandas()  # 2 ** FREQUENCY_BITS rows at most
     out = np.zeros(size, np.uint8)
     seen = counts.n.to_numpy(float)
     out[counts.b.to_numpy(np.int64)] = np.where(seen <= STOP_SHARE * n, np.clip(np.log(n / seen) * 4, 1, 63), 0)
