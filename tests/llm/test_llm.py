@@ -225,3 +225,34 @@ def test_long_errors_and_all_filler_cues():
     for s in ("NaN NaN NaN", "foo bar foo bar", "xx xx xx xx", "Add a title here", "Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur"):
         assert pages.residue(s), s
     assert not pages.residue("The test of the text is set for Monday.")
+
+
+def test_no_length_limits():
+    found = lambda t: [(k, t[a:b]) for a, b, k in pii.spans(t)]
+    for blanks in (50, 250, 5000):
+        assert pairs.judged(" " * blanks)[0] == pairs.judged("```json\n" + "​ " * blanks + "{}\n```")[0] == pairs.judged("-" * blanks)[0] == "empty"
+    for n in (10, 90, 3000):
+        assert found("mail " + "a" * n + "@post.test now") == [("EMAIL", "a" * n + "@post.test")]
+        assert leakage.words("<b class='" + "x " * n + "'>one</b> two") == ["one", "two"]
+        assert set(pages.html_runs("<body><p>a</p>" + "<script>x</script>" * n + "<div>late</div>")) == {"a", "late"}
+        assert pages.body_verdict(["Error 404: the page was not found."] * n) == "error"
+        assert pages.body_verdict(["Error 404: the page was not found."] * n + ["The mill turns.", "It is old.", "It is red."]) == "own"
+        assert found("Call" + " " * n + "(231) 555-0104 now") == [("PHONE", "(231) 555-0104")]
+    assert pages.body_verdict(["Error 404: the page was not found."] * 4 + ["Have a look at the mill."]) == "error"
+    assert found("IBAN GB29 NWBK ABCD EFGH 1234 5678 9012 34 end") == [("ID_NUMBER", "GB29 NWBK ABCD EFGH 1234 5678 9012 34")]
+    assert found("J. K. L. M. N. O. Zimström left a review") == [("NAME", "J. K. L. M. N. O. Zimström")]
+
+
+def test_disguised_addresses_in_any_case():
+    found = lambda t: [(k, t[a:b]) for a, b, k in pii.spans(t)]
+    for a in ("john.smith at example.com", "x (At) post (Dot) test", "x [DOT] y [AT] post.test", "j_smith42 AT mail.example.org"):
+        assert found(f"write to {a} now") == [("EMAIL", a)], a
+    assert found("look at example.com or visit us at larkmoor.test") == []
+
+
+def test_copies_between_other_words(spark):
+    asked = "Find the mill and name its owner in the town."
+    rows = [(1, asked + " Thank you"), (2, " ".join([asked] * 3)), (3, "Well then: " + asked + " Right?"), (4, asked + " The owner of the mill is a baker who lives nearby."), (5, "Name its owner in the town.")]
+    df = spark.createDataFrame([("action", i, 1, "m", t) for i, t in rows], "src string, row_id long, task_id long, source string, response string")
+    tasks = spark.createDataFrame([(1, asked)], "task_id long, instruction string")
+    assert {r.row_id for r in pairs.broken_pairs(df, tasks).collect() if r.defect == "copied"} == {1, 2, 3}

@@ -26,7 +26,7 @@ RUN, SHARE, SHARD_WORDS = 8, 0.5, 400_000
 SAMPLE = 8
 
 INVISIBLE = re.compile("[​‌‍⁠﻿­‎‏]")
-TAG = re.compile(r"</?[a-zA-Z][^<>]{0,300}>|<!--.*?-->", re.S)
+TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->", re.S)
 WORD = re.compile(r"[^\W_]+")
 
 
@@ -133,7 +133,7 @@ class FMIndex:
 
 
 def phrase_table(items: dict[int, list[str]], vocab: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct phrases are not merged: each has its item and its place in it. Short items give one phrase of all words."""
+    """Distinct phrases are not merged: each has its item and its place in it. Items of fewer words than a run give none."""
     rows, owner, place = [], [], []
     for i, w in items.items():
         n = [vocab[x] for x in w]

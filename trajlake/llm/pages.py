@@ -211,17 +211,16 @@ class Runs(HTMLParser):
 
 
 def html_runs(html: str | None) -> dict[str, tuple[float, int, int]]:
-    """Text run → (text-to-tag ratio, block, sectioning element); empty where there is no HTML or it cannot be read."""
+    """Text run → (text-to-tag ratio, block, sectioning element); empty where there is no HTML; as far as it can be read."""
     if not html:
         return {}
     p = Runs()
     at = html.find("<body")
-    end = html.rfind("<script")  # a script after the last text run has no text
     try:
-        p.feed(html[max(at, 0) : end if end > at and html.rfind("</p>") < end and html.rfind("</a>") < end else len(html)])
+        p.feed(html[max(at, 0) :])
         p.close()
-    except Exception:
-        return {}
+    except AssertionError:  # the parser gives up on some declarations; what it read stands
+        pass
     return p.runs
 
 
@@ -388,6 +387,10 @@ def residue(line: str) -> bool:
 PART = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ü¿¡:])")
 
 
+#: A body that is nothing but an error message may say so many parts, and a third of them, in other words.
+OTHER_PARTS = 2
+
+
 def speaks_of_error(part: str) -> bool:
     part = " ".join(part.split())
     return bool(ERROR.search(part) or SCRIPTS.search(part))
@@ -400,6 +403,9 @@ def body_verdict(body: list[str]) -> str:
     if any(residue(x) for x in body):
         return "field"
     parts = [p for x in body for p in PART.split(unicodedata.normalize("NFKC", x)) if WORDS.search(p) or re.search(r"\d{3}", p)]
-    if len(parts) <= 8 and sum(len(WORDS.findall(p)) for p in parts) <= 40:  # a short body may say a third in other words
-        return "error" if parts and 3 * sum(map(speaks_of_error, parts)) >= 2 * len(parts) else "own"
-    return "error" if all(map(speaks_of_error, parts)) else "own"  # ends at the first part that does not
+    other = 0
+    for p in parts:  # ends with the third part that speaks of something else
+        other += not speaks_of_error(p)
+        if other > OTHER_PARTS:
+            return "own"
+    return "error" if parts and 3 * other <= len(parts) else "own"

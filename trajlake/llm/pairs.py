@@ -42,7 +42,7 @@ REFUSALS = (
     r"\bdebo negarme\b|\bno puedo ayudar|\bno me permiten\b|\bme niego a\b|\btengo que rechazar\b",
 )
 
-STAND_INS = r"^(?:none|null|nil|n/?a|nan|undefined|empty|no (?:response|answer|output)|-+|–|—|\.+|…|\?+|_+)$"
+STAND_INS = r"^(?:none|null|nil|n/?a|nan|undefined|empty|no ?(?:response|answer|output)|-+|–|—|\.+|…|\?+|_+)$"
 
 
 WORD = re.compile(r"[^\W_]+")
@@ -56,8 +56,10 @@ REFUSAL = [re.compile(r) for r in REFUSALS]
 #: Every refusal has one of these.
 REFUSAL_CUES = re.compile(r"rather|cannot|can't|can not|unable|not able|not allowed|won't|will not|policy|rules|guidelines|not something|out of the question|decline|refuse|pass on|refus|peux pas|puis pas|pouvons pas|permettent|ablehnen|nicht helfen|darf ich|negarme|no puedo|no me permiten|me niego|rechazar")
 LANGUAGE_SETS = {k: frozenset(ws) for k, ws in FUNCTION_WORDS.items()}
-#: A reply that copies has at most so many words before the instruction.
+#: A reply that copies has at most so many words round the instruction.
 LEAD = 4
+#: Letters and digits of the longest stand-in.
+LONGEST_STAND_IN = 10
 
 
 def language(words: list[str]) -> str | None:
@@ -72,11 +74,16 @@ def digest(words: list[str]) -> int:
 
 
 def copied_forms(words: list[str]) -> list[int]:
-    """Hashes of the word runs of which the reply is a copy, if it is one: once or twice over, after a short lead."""
+    """Hashes of the word runs of which the reply is a copy, if it is one: once between a few other words, or several times over."""
     n, out = len(words), []
     for lead in range(min(LEAD, n - 1) + 1):
-        out.append(digest(words[lead:]))
+        for tail in range(min(LEAD - lead, n - lead - 1) + 1):
+            out.append(digest(words[lead : n - tail]))
         m = n - lead
+        again = next((j for j in range(lead + 1, n) if words[j] == words[lead] and words[j : j + 3] == words[lead : lead + 3]), n)
+        unit = again - lead
+        if 2 * unit < m and m % unit == 0 and words[lead:] == words[lead:again] * (m // unit):
+            out.append(digest(words[lead:again]))
         for again in range(min(LEAD - lead, m - 2) + 1):  # the lead may come again before the second copy
             size, odd = divmod(m - again, 2)
             if not odd and size and words[lead : lead + size] == words[n - size :]:
@@ -88,19 +95,30 @@ def sentences(prose: str) -> list[str]:
     return [p.lstrip() for p in SENTENCE.split(re.sub(r"[0-9]+", "0", prose)) if p.strip()]
 
 
+def says_nothing(response: str) -> bool:
+    """Nothing stands in the reply but blanks, an empty shell or a stand-in; read as far as the first longer word reaches."""
+    core, solid = [], 0
+    for c in SHELL.sub(" ", response):
+        if unicodedata.category(c)[0] not in "ZC":
+            core.append(c)
+            solid += c.isalnum()
+            if solid > LONGEST_STAND_IN:
+                return False
+    return bool(EMPTY.fullmatch("".join(core).lower()))
+
+
 def judged(response: str | None) -> tuple[str | None, str | None, list[int] | None, str | None, str | None]:
     """(defect, language, copied forms, last sentence of a loose end, last sentence of a sound one) of a reply by itself."""
     if response is None:
         return "empty", None, None, None, None
-    core = "".join(c for c in SHELL.sub(" ", response) if unicodedata.category(c)[0] not in "ZC").lower() if len(response) < 200 else "-x-"
-    if EMPTY.fullmatch(core):
+    if says_nothing(response):
         return "empty", None, None, None, None
     fences, prose = response.count("```"), response.split("```", 1)[0]
     low = prose.lower().replace("’", "'")
     if REFUSAL_CUES.search(low) and any(r.search(low) for r in REFUSAL):
         return "refusal", None, None, None, None
     end, tail = response.rstrip(), prose.rstrip()
-    final = bool(FINAL.search(tail)) or bool(re.match(r"\s*[*+-] ", tail.rpartition("\n")[2]) and "\n" in tail)
+    final = bool(FINAL.search(tail))
     if (
         fences % 2
         or MARKED.search(end)

@@ -38,6 +38,8 @@ AT_DOT = re.compile(
     r"(?i)(?<=[\w+\-])\s*(?:[\[({<]\s*(?:at|arroba|chez|klammeraffe|@)\s*[\])}>]|\s(?:at|arroba)\s(?=\s*[\w\-]+(?:\s*[\[({<]?\s*(?:dot|punkt|point|punto)\b|\.\w)))\s*(?=\w)"
     r"|(?<=\w)\s*(?:[\[({<]\s*(?:dot|punkt|point|punto|\.)\s*[\])}>]|\s(?:dot|punkt|point|punto)\s)\s*(?=\w)"
 )
+BARE_AT = re.compile(r"(?i)\s+(?:at|arroba)\s+")
+HOST = re.compile(r"[\w\-]+\.\w")
 LOOKALIKE = re.compile("[" + re.escape("".join(HOMOGLYPHS)) + "".join(INVISIBLE) + "０-９Ａ-ｚ]")
 
 
@@ -62,6 +64,8 @@ def plain_form(text: str, disguised: bool = True) -> tuple[str, list[int] | None
         parts, spots, last = [], [], 0
         for m in pattern.finditer(s):
             a, b = m.span()
+            if value == 0 and BARE_AT.fullmatch(m[0]) and HOST.match(s, b) and not user_before(s, a):
+                continue
             new = "".join(SPELLED[w.lower()] for w in re.findall(r"[^\W\d_]+", m[0])) if value is None else ("@" if re.search(r"(?i)at|arroba|chez|klammeraffe|@", m[0]) else ".")
             parts += [s[last:a], new]
             # the replacement's characters spread over the source span: the first at its start, the others at its last character
@@ -134,7 +138,7 @@ def _cues() -> ahocorasick.Automaton:
         add(w, -len(w))
     for w in STREETS.split("|"):
         add(w, 9)
-    for w in DISGUISES.split("|"):
+    for w in {v for w in DISGUISES.split("|") for v in (w, w.lower(), w.upper(), w.title())}:
         add(w, 8)
     for w in SPELLED:
         for sign in " -":
@@ -144,10 +148,52 @@ def _cues() -> ahocorasick.Automaton:
 
 
 CUES = _cues()
+ID_SIGNS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 ().-/+Kk")
+#: " at " before a host name is an address only where a user name stands before it: one with a sign or a digit.
+USER = re.compile(r"[\w.+\-]*[._+\-\d][\w.+\-]*\w$")
+AFTER_AT = re.compile(r"[\w\-]+(?:\.[A-Za-z]{2}|\s*[\[({<]?\s*(?:dot|punkt|point|punto)\b)", re.I)
+
+
+def plain_at(s: str) -> bool:
+    """" at " stands somewhere between a user name and a host name."""
+    for word in (" at ", " AT ", " At ", " arroba "):
+        i = s.find(word)
+        while i >= 0:
+            if AFTER_AT.match(s, i + len(word)) and user_before(s, i):
+                return True
+            i = s.find(word, i + 1)
+    return False
+
+
+def user_before(s: str, at: int) -> bool:
+    a = max(s.rfind(" ", 0, at), s.rfind("\n", 0, at)) + 1
+    return bool(USER.fullmatch(s, a, at))
 TITLES = re.compile(r"(?:(?:Mrs?|Ms|Dr|Prof|Sra?|Mme|Mlle)\.? |Frau |Herrn? |(?:la )?(?:señora|señor) |Madame |Monsieur )+")
 NAME_END = re.compile(rf"(?:[A-ZÀ-Ý]{{2,}}(?:-[A-ZÀ-Ý]{{2,}})*, [A-ZÀ-Ý][a-zà-ÿ]+|(?:[A-ZÀ-Ý][a-zà-ÿ]+(?:-[A-ZÀ-Ý][a-zà-ÿ]+)?|{INIT})(?: {INIT})* {SUR}|[a-zà-ÿ]{{3,}} [a-zà-ÿ]{{3,}}(?:-[a-zà-ÿ]{{3,}})*)$")
 
 
+#: Most words of a name, titles and initials among them.
+NAME_WORDS = 12
+
+
+def words_back(s: str, stop: int, n: int) -> int:
+    """Where the last ``n`` words before ``stop`` begin, in the same line."""
+    at = stop
+    for _ in range(n):
+        at = max(s.rfind(" ", 0, at), s.rfind("\n", 0, at))
+        if at <= 0 or s[at] == "\n":
+            break
+    return max(at, 0)
+
+
+def cue_before(cue: re.Pattern, s: str, at: int) -> bool:
+    """``cue`` ends at ``at``, whatever blanks lie between; no cue is longer than forty characters."""
+    a = at
+    while a and s[a - 1] == " ":
+        a -= 1
+    return bool(cue.search(s, max(0, a - 40), min(at, a + 1)))
+
+
 def names(s: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Spans of names beside the cues ``hits``: (last offset, kind)."""
     for end, k in hits:
@@ -162,7 +208,7 @@ def names(s: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
                 yield m.span()
         elif k < 0 and AFTER.match(s, i + k):
             stop = i + k
-            m = NAME_END.search(s, max(0, stop - 70), stop)
+            m = NAME_END.search(s, words_back(s, stop, NAME_WORDS), stop)
             if m and m[0].split()[0].lower() not in NOT_NAMES:
                 a = m.start()
                 lead = TITLES.match(s, a)
@@ -188,34 +234,46 @@ def scan(s: str) -> tuple[list[tuple[int, int]], set[int]]:
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, type) of the personal information in ``text``, in order, none overlapping."""
     hits, kinds = scan(text)
-    s, at = plain_form(text, 8 in kinds)
+    s, at = plain_form(text, 8 in kinds or plain_at(text))
     if at is not None:
         hits, kinds = scan(s)
     taken: list[tuple[int, int, str]] = []
     i, last = s.find("@"), 0
     while i >= 0:
-        m = EMAIL.search(s, max(last, i - 80), i + 120)
-        if m and m.start() < i < m.end():
+        a = i
+        while a > last and (s[a - 1].isalnum() or s[a - 1] in "._+-"):
+            a -= 1
+        m = EMAIL.match(s, a)
+        if m:
             taken.append((*m.span(), "EMAIL"))
             last = m.end()
-        i = s.find("@", i + 1)
+        i = s.find("@", max(i + 1, last))
     if 9 in kinds:
         taken += [(*m.span(), "ADDRESS") for m in ADDRESS.finditer(s)]
 
     def free(a: int, b: int) -> bool:
         return all(b <= x or a >= y for x, y, _ in taken)
 
-    windows = [(max(0, m.start() - 12), m.end() + 16) for m in NUMERIC.finditer(s)]
+    windows = []
+    for m in NUMERIC.finditer(s):  # the whole stretch of characters that identifiers are made of, round each long run of digits
+        a, b = m.span()
+        if windows and a < windows[-1][1]:
+            continue
+        while a and (s[a - 1] in ID_SIGNS):
+            a -= 1
+        while b < len(s) and s[b] in ID_SIGNS:
+            b += 1
+        windows.append((a, min(b + 1, len(s))))
     for w in windows:
         for m in ID_FORM.finditer(s, *w):
             a, b = m.span()
             if free(a, b):
-                taken.append((a, b, "PHONE" if PHONE_CUE.search(s, max(0, a - 24), a) else "ID_NUMBER"))
+                taken.append((a, b, "PHONE" if cue_before(PHONE_CUE, s, a) else "ID_NUMBER"))
     for w in windows:
         for m in PHONE_FORM.finditer(s, *w):
             a, b = m.span()
             if free(a, b) and 9 <= sum(c.isdigit() for c in m[0]) <= 15:
-                taken.append((a, b, "ID_NUMBER" if ID_CUE.search(s, max(0, a - 24), a) else "PHONE"))
+                taken.append((a, b, "ID_NUMBER" if cue_before(ID_CUE, s, a) else "PHONE"))
     for a, b in names(s, hits):
         if free(a, b):
             taken.append((a, b, "NAME"))

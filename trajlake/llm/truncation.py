@@ -88,7 +88,6 @@ LOOSE = r"""
 SELECT src, row_id, source, len, get(w, size(w) - 3) AS a, get(w, size(w) - 2) AS b, get(w, size(w) - 1) AS c,
        prose RLIKE '[«„][^«„»“”]*$' OR (length(prose) - length(replace(prose, '"', ''))) % 2 = 1 AS open_quote
 FROM {words} WHERE fences = 0 AND NOT marked AND NOT rtrim(prose) RLIKE '[.!?…»”"“)\\]|*`]$'
-  AND NOT substring_index(prose, '\n', -1) RLIKE '^\\s*[*+-] '
 """
 
 CUT = """
