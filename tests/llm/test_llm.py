@@ -256,3 +256,20 @@ def test_copies_between_other_words(spark):
     df = spark.createDataFrame([("action", i, 1, "m", t) for i, t in rows], "src string, row_id long, task_id long, source string, response string")
     tasks = spark.createDataFrame([(1, asked)], "task_id long, instruction string")
     assert {r.row_id for r in pairs.broken_pairs(df, tasks).collect() if r.defect == "copied"} == {1, 2, 3}
+
+
+def test_every_split_sees_every_profile():
+    shares = [("test", 0.1), ("train", 0.8), ("val", 0.1)]
+    out = splits.allocate([(1, "com", 800), (1, "org", 150), (1, "net", 50)], shares)
+    assert {(p, n): k for (_, p), parts in out.items() for n, k in parts} == {(p, n): round(c * x) for p, c in (("com", 800), ("org", 150), ("net", 50)) for n, x in shares}
+    rng = random.Random(2)
+    bundles = [(s, p, rng.randint(1, 3000 // s)) for s in (*range(1, 60), 700, 900) for p in "abc"]
+    out, rows = splits.allocate(bundles, shares), {}
+    for (s, p), parts in out.items():
+        for n, k in parts:
+            rows[n, p] = rows.get((n, p), 0) + s * k
+    assert all(sum(k for _, k in out[s, p]) == c for s, p, c in bundles)
+    for p in "abc":
+        total = sum(s * c for s, q, c in bundles if q == p)
+        assert all(abs(rows[n, p] - x * total) <= 2 for n, x in shares)
+    assert splits.min_cost_flow([3], [[[(1, 0), (2, 9)], [(3, 4)]]], [3, 3]) == [[1, 2]]

@@ -92,8 +92,14 @@ def grouped_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return named.join(root, F.col("name") == F.col("node"), "left").select("task_id", F.coalesce("root", "name").alias("group_key"))
 
 
-def min_cost_flow(supply: list[int], cost: list[list[int]], room: list[int]) -> list[list[int]]:
-    """Integral flow of ``supply`` units to sinks with ``room`` at the least cost (successive shortest paths with potentials)."""
+Arcs = list[tuple[int, int]]
+
+
+def min_cost_flow(supply: list[int], cost: list[list[int | Arcs]], room: list[int | Arcs]) -> list[list[int]]:
+    """Integral flow of ``supply`` units to sinks with ``room`` at the least cost (successive shortest paths with potentials).
+
+    A cost may be a list of (capacity, cost of a unit) of rising cost, as may a room: deviations that cost more the larger they are.
+    """
     n, m = len(supply), len(room)
     size, graph = n + m + 2, [[] for _ in range(n + m + 2)]
 
@@ -104,9 +110,11 @@ def min_cost_flow(supply: list[int], cost: list[list[int]], room: list[int]) ->
     for i, s in enumerate(supply):
         add(0, 1 + i, s, 0)
         for j in range(m):
-            add(1 + i, 1 + n + j, s, cost[i][j])
+            for cap, w in cost[i][j] if isinstance(cost[i][j], list) else [(s, cost[i][j])]:
+                add(1 + i, 1 + n + j, cap, w)
     for j in range(m):
-        add(1 + n + j, size - 1, room[j], 0)
+        for cap, w in room[j] if isinstance(room[j], list) else [(room[j], 0)]:
+            add(1 + n + j, size - 1, cap, w)
     pot = [0] * size
     while True:
         dist, back = [float("inf")] * size, [None] * size
@@ -136,41 +144,54 @@ def min_cost_flow(supply: list[int], cost: list[list[int]], room: list[int]) ->
     for i in range(n):
         for v, _, _, r in graph[1 + i]:
             if v > n:
-                j = v - 1 - n
-                flow[i][j] = graph[v][r][1]
+                flow[i][v - 1 - n] += graph[v][r][1]
     return flow
 
 
+def deviation(target: float, most: int, weight: int) -> Arcs:
+    """Arcs whose cost is the square of the deviation from ``target``: exact near it, in steps that double further off."""
+    steps, step = {0, most}, 1
+    while step < 2 * most + 2:
+        steps |= {x for x in (int(target) - step + 1, int(target) + step) if 0 < x < most}
+        step *= 2
+    at = sorted(steps)
+    shift = 16 * weight * (2 * most + 2)  # every unit takes one such arc: a constant changes nothing, and costs stay positive
+    return [(b - a, shift + round(16 * weight * (a + b - 2 * target))) for a, b in zip(at, at[1:])]
+
+
 def allocate(bundles: list[tuple[int, str, int]], shares: list[tuple[str, float]]) -> dict[tuple[int, str], list[tuple[str, int]]]:
     """How many components of each bundle (size, profile, count) go to each split.
 
-    Large bundles first: the row quotas of each split still open are turned into component quotas of the bundle
-    (largest remainder), deviation from them costs, and the flow places the components. One pass per size in
-    descending order keeps rows, not components, at their quotas.
+    Sizes are placed in descending order, so that small components even out what large ones cannot. Each size is one
+    flow of all its bundles to all splits: the further a split is from its share of the rows still to place, and a
+    profile from its share in the split, the more the next component costs there. Flows of whole components are integral.
     """
-    total = sum(s * c for s, _, c in bundles)
     norm = sum(x for _, x in shares) or 1.0
-    left = {name: total * x / norm for name, x in shares}
-    names = [n for n, _ in shares]
+    names, share = [n for n, _ in shares], [x / norm for _, x in shares]
+    total, of_profile = 0, {}
+    for s, p, c in bundles:
+        total += s * c
+        of_profile[p] = of_profile.get(p, 0) + s * c
+    left = [total * x for x in share]
+    owed = {p: [n * x for x in share] for p, n in of_profile.items()}
     out: dict[tuple[int, str], list[tuple[str, int]]] = {}
     by_size: dict[int, list[tuple[str, int]]] = {}
     for s, p, c in bundles:
         by_size.setdefault(s, []).append((p, c))
+
+    def wanted(rows: list[float], count: int) -> list[float]:
+        pool = sum(max(0.0, v) for v in rows)
+        return [count * max(0.0, v) / pool for v in rows] if pool else [count * x for x in share]
+
     for s in sorted(by_size, reverse=True):
         rows, count = by_size[s], sum(c for _, c in by_size[s])
-        pool = sum(max(0.0, v) for v in left.values()) or 1.0
-        want = [count * max(0.0, left[n]) / pool for n in names]
-        room = [int(w) for w in want]
-        rest = sorted(range(len(names)), key=lambda j: (-(left[names[j]] - room[j] * s), j))
-        for j in (rest * (count // len(names) + 1))[: count - sum(room)]:
-            room[j] += 1
-        # a profile's own share of a split is free, more of it costs: every split sees every profile
-        cost = [[max(0, round(100 * (1 - (dict(shares)[n] / norm) * c / max(1, r)))) for n, r in zip(names, room)] for _, c in rows]
-        flow = min_cost_flow([c for _, c in rows], cost, room)
+        cost = [[deviation(t, c, 1) for t in wanted(owed[p], c)] for p, c in rows]
+        flow = min_cost_flow([c for _, c in rows], cost, [deviation(t, count, 4) for t in wanted(left, count)])
         for (p, _), f in zip(rows, flow):
             out[(s, p)] = [(n, k) for n, k in zip(names, f) if k]
-        for n, r in zip(names, room):
-            left[n] -= r * s
+            for j, k in enumerate(f):
+                left[j] -= s * k
+                owed[p][j] -= s * k
     return out
 
 
@@ -192,7 +213,7 @@ def p7_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     units = checkpoint(
         g.groupBy("unit").agg(F.count("*").alias("size")).withColumn("profile", F.when(F.col("unit").startswith("task:"), F.lit("")).otherwise(profile))
     )
-    # bundles: one row per (size, profile); sizes beyond EXACT_SIZE are few by their sum, profiles are top-level labels
+    # bundles: one row per (size, profile); k different sizes need k²/2 rows, profiles are top-level labels
     bundles = [(r["size"], r["profile"], r["n"]) for r in units.groupBy("size", "profile").agg(F.count("*").alias("n")).collect()]
     cuts, rows = allocate(bundles, shares), []
     for (size, prof), parts in cuts.items():
