@@ -115,6 +115,9 @@ def test_pack(spark):
     assert rows.groupby("container_no").n_tokens.sum().max() <= 32
     assert rows.n_tokens.sum() == 165 and sorted(rows[rows.doc_id == 1].n_tokens) == [4, 32, 32, 32]
     assert packing.pack(sizes.limit(0), 32).count() == 0
+    apart = packing.pack(sizes, 32, combine=False).toPandas()
+    assert apart.groupby("container_no").n_tokens.sum().max() <= 32 and apart.n_tokens.sum() == 165
+    assert packing.plan_in_buckets({8: 9, 5: 3, 0: 2}, 32) == ([(8, 0, 9, 0, 4), (5, 0, 3, 3, 6), (0, 0, 2, 4, 2)], 5)
 
 
 def test_leakage_against_brute_force(spark):

@@ -129,10 +129,20 @@ def plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, in
     return segments, total
 
 
-def pack(sizes: DataFrame, capacity: int) -> DataFrame:
+def plan_in_buckets(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int]], int]:
+    """As :func:`plan`, with containers of one bucket each: batches of equal padded length."""
+    segments, total = [], 0
+    for b in sorted(counts, reverse=True):
+        each = capacity // b if b > 0 else max(counts[b], 1)
+        segments.append((b, 0, counts[b], total, each))
+        total += -(-counts[b] // each)
+    return segments, total
+
+
+def pack(sizes: DataFrame, capacity: int, combine: bool = True) -> DataFrame:
     """(doc_id, part_no, n_tokens, container_no) of every piece of ``sizes`` (doc_id, n_tokens).
 
-    No piece is split but those of documents beyond the capacity; a document of no tokens takes no room; repeated
+    Buckets share containers (``combine``), or each batch forms inside its bucket. No piece is split but those of documents beyond the capacity; a document of no tokens takes no room; repeated
     documents are laid one by one; an empty table gives an empty result.
     """
     spark = sizes.sparkSession
@@ -146,7 +156,7 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     for k, v in histogram.items():
         b = bounds[bisect_left(bounds, k)] if k > 0 else 0
         counts[b] = counts.get(b, 0) + v
-    segments, _ = plan(counts, capacity)
+    segments, _ = (plan if combine else plan_in_buckets)(counts, capacity)
     where = spark.createDataFrame(segments, "bucket long, lo long, hi long, first long, each long")  # bounded by buckets and their splits
     by_size = spark.createDataFrame([(k, bounds[bisect_left(bounds, k)] if k > 0 else 0) for k in histogram], "n_tokens long, bucket long")
     keyed = pieces.join(F.broadcast(by_size), "n_tokens").withColumn("piece", F.struct("doc_id", "part_no"))
@@ -155,18 +165,23 @@ def pack(sizes: DataFrame, capacity: int) -> DataFrame:
     return laid.select("doc_id", "part_no", "n_tokens", (F.col("first") + F.floor((F.col("rank") - F.col("lo")) / F.col("each"))).alias("container_no"))
 
 
-def p8_containers(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+def p8_containers(spark: SparkSession, sf_dir: str, tokenizer: str | None = None, combine: bool = True) -> DataFrame:
     """(container_name, doc_id, part_no, n_tokens, container_no) for every capacity and every document with a text."""
     sizes = checkpoint(token_counts(table(spark, sf_dir, "documents"), tokenizer or default_tokenizer()))
     out = None
     for name, capacity in table(spark, sf_dir, "container_sizes").where("capacity_tokens > 0").orderBy("container_name").select("container_name", "capacity_tokens").collect():  # fixed small table
-        one = pack(sizes, capacity).select(F.lit(name).alias("container_name"), "doc_id", "part_no", "n_tokens", "container_no")
+        one = pack(sizes, capacity, combine).select(F.lit(name).alias("container_name"), "doc_id", "part_no", "n_tokens", "container_no")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p8_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``p8_fill``, of batches that form inside one bucket each."""
+    return p8_fill(spark, sf_dir, combine=False)
+
+
+def p8_fill(spark: SparkSession, sf_dir: str, combine: bool = True) -> DataFrame:
     """(container_name, containers, tokens, fill): how full the containers of each capacity are."""
-    laid = p8_containers(spark, sf_dir).groupBy("container_name").agg(F.countDistinct("container_no").alias("containers"), F.sum("n_tokens").alias("tokens"))
+    laid = p8_containers(spark, sf_dir, combine=combine).groupBy("container_name").agg(F.countDistinct("container_no").alias("containers"), F.sum("n_tokens").alias("tokens"))
     sizes = table(spark, sf_dir, "container_sizes")
     return laid.join(sizes, "container_name").select("container_name", "containers", "tokens", (F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("fill"))

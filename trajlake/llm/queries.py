@@ -26,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "p7_splits": splits.p7_splits,
         "p8_containers": packing.p8_containers,
         "p8_fill": packing.p8_fill,
+        "p8_batches": packing.p8_batches,
         "p9_found": leakage.p9_found,
         "p9_spans": leakage.p9_spans,
         "p10_found": subjects.p10_found,
