@@ -1,18 +1,24 @@
 """HTML to the markdown that agents read, one Arrow pass, on the standard library's parser.
 
 A page becomes a small element tree; rendering walks it once with the set of node types that may appear at each place.
-An element whose type may not appear there, or that is hidden, is transparent: its children render in its place.
+The types are a registry of schemas in order of priority, and an element takes the first that matches, may appear there
+and is not hidden. An element without one is transparent: its children render in its place, however deep they stand.
 Malformed pages: a paragraph, list item, cell, row or option closes an open one of its kind; stray end tags are ignored.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from trajlake.functions.scalar import EMPTY_LABELS, MAX_LABEL
 
 FAILED = "The page could not be rendered as text."
 VOID = frozenset("area base br col embed hr img input source track wbr".split())
@@ -20,11 +26,11 @@ DROPPED = frozenset("script style link meta noscript template object applet".spl
 SELF_CLOSING = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "option": {"option"}}
 #: Elements that end the reach of an implied end tag.
 SCOPES = frozenset("ul ol table div section article main body nav aside footer header form select".split())
-#: Labels that say nothing.
-EMPTY = frozenset(("", "None", "none", "null", "undefined", "NaN", "nan"))
-#: Input types.
+EMPTY = frozenset(EMPTY_LABELS)
+#: Input types, those of them that are buttons, and the indent of one list level.
+INPUT_TYPES = frozenset("button color date datetime-local email file hidden image month number password reset search submit tel text time url week".split())
 BUTTON_TYPES = frozenset("button submit reset image".split())
-INPUT_TYPES = BUTTON_TYPES | frozenset("text email password search tel url number date month week time datetime-local color file hidden".split())
+INDENT = "    "
 
 
 class Node:
@@ -33,8 +39,15 @@ class Node:
     def __init__(self, tag: str, attrs: dict[str, str]) -> None:
         self.tag, self.attrs, self.children = tag, attrs, []
 
-    def text(self) -> str:
-        return " ".join(x for x in (c.strip() if isinstance(c, str) else c.text() for c in self.children) if x)
+    def texts(self) -> Iterator[str]:
+        """All text below, in order."""
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            if isinstance(n, str):
+                yield n
+            else:
+                todo.extend(reversed(n.children))
 
 
 class Tree(HTMLParser):
@@ -83,209 +96,321 @@ class Tree(HTMLParser):
             self.open[-1].children.append(data)
 
 
-INLINE = frozenset("text bold italic underline strike code".split())
-RICH = INLINE | {"link", "image"}
-WIDGETS = frozenset("button checkbox input range select textarea dropdown form".split())
-#: Node types that may stand directly in each container; absent: any.
-ALLOWED = {
-    "ordered": RICH | WIDGETS | {"item"},
-    "unordered": RICH | WIDGETS | {"item"},
-    "item": RICH | WIDGETS | {"heading", "ordered", "unordered"},
-    "table": frozenset({"row"}),
-    "row": frozenset({"cell"}),
-    "cell": RICH | WIDGETS | {"heading", "ordered", "unordered"},
-    "heading": INLINE | {"image"},
-    "bold": INLINE,
-    "italic": INLINE,
-    "underline": INLINE,
-    "strike": INLINE,
-    "quote": INLINE,
-    "link": INLINE,
-    "code": frozenset(),
-}
-BY_TAG = {
-    "textarea": "textarea", "select": "select", "form": "form", "button": "button", "ol": "ordered", "ul": "unordered", "li": "item", "table": "table", "tr": "row", "th": "cell", "td": "cell",
-    "h1": "heading", "h2": "heading", "h3": "heading", "h4": "heading", "h5": "heading", "h6": "heading", "img": "image", "a": "link", "b": "bold", "strong": "bold", "i": "italic", "em": "italic",
-    "u": "underline", "s": "strike", "strike": "strike", "del": "strike", "code": "code", "pre": "code", "blockquote": "quote", "hr": "rule",
-}
-BY_ROLE = {
-    "textbox": "textarea", "slider": "range", "spinbutton": "range", "checkbox": "checkbox", "button": "button", "option": "button", "textfield": "input", "input": "input", "listbox": "dropdown",
-    "combobox": "dropdown", "list": "ordered", "menu": "ordered", "menubar": "ordered", "radiogroup": "ordered", "tablist": "ordered", "tree": "ordered", "listitem": "item", "menuitem": "item",
-    "radio": "item", "treeitem": "item", "table": "table", "grid": "table", "treegrid": "table", "row": "row", "rowheader": "cell", "gridcell": "cell", "columnheader": "cell", "heading": "heading", "tab": "heading",
-}
-NEEDS_META = frozenset("button checkbox input range select textarea dropdown".split())
+Part = tuple[str, str, "Node | None"]
+
+
+@dataclass
+class Schema:
+    """A node type: what it matches, the types that may stand directly in it (None: any), and how it is drawn.
+
+    ``attributes``: attribute → values that match it. ``metadata``: only elements the browser has measured match.
+    """
+
+    name: str
+    draw: Callable[["Page", "Node", dict, list[Part], int], str]
+    tags: frozenset[str] = frozenset()
+    attributes: dict[str, frozenset[str]] | None = None
+    inside: set[str] | None = None
+    metadata: bool = False
+    test: Callable[["Node"], bool] | None = None
+    indent: int = 0
+
+    def matches(self, n: "Node", d: dict | None) -> bool:
+        hit = n.tag in self.tags or any(n.attrs.get(k) in v for k, v in (self.attributes or {}).items())
+        return hit and (d is not None or not self.metadata) and (self.test is None or self.test(n))
+
+
+SCHEMAS: list[Schema] = []
+
+
+def register(schema: Schema, priority: int | None = None, behaves_like: tuple[str, ...] = ()) -> Schema:
+    """Add a node type at ``priority`` (last without one). It may stand wherever a type it behaves like may."""
+    for other in SCHEMAS:
+        if other.inside is not None and any(x in other.inside for x in behaves_like):
+            other.inside.add(schema.name)
+    SCHEMAS.insert(len(SCHEMAS) if priority is None else priority, schema)
+    _BY_TAG.clear()
+    return schema
+
+
+_BY_TAG: dict[str, list[Schema]] = {}
+
+
+def candidates(n: "Node") -> list[Schema]:
+    """Schemas that can match an element by its tag, or by any attribute, in order; cached by tag."""
+    got = _BY_TAG.get(n.tag)
+    if got is None:
+        got = _BY_TAG[n.tag] = [s for s in SCHEMAS if n.tag in s.tags or s.attributes]
+    return got
 
 
 def label(text: str | None) -> str:
     t = (text or "").strip()
-    return "" if t in EMPTY else t if len(t) <= 64 else t[:64] + "..."
+    return "" if t in EMPTY else t if len(t) <= MAX_LABEL else t[:MAX_LABEL] + "..."
 
 
 def joined(parts: list[str]) -> str:
     return " ".join(p for p in parts if p)
 
 
-class Renderer:
+def inner(parts: list[Part]) -> str:
+    return " ".join(t for _, t, _ in parts)
+
+
+def no_newlines(text: str) -> str:
+    return re.sub(r"\n+", " ", text).strip()
+
+
+class Page:
     """Renders one page. ``metadata``: node id → what the browser measured there; ``view``: x0, y0, x1, y1 or None."""
 
-    def __init__(self, tree: Tree, metadata: dict | None, visible: bool, frontmost: bool, view: tuple | None) -> None:
+    def __init__(self, tree: "Tree", metadata: dict | None, visible: bool, frontmost: bool, view: tuple | None) -> None:
         self.tree, self.meta, self.visible, self.frontmost, self.view = tree, metadata or {}, visible, frontmost, view
 
-    def data(self, n: Node) -> dict | None:
+    def data(self, n: "Node") -> dict | None:
         i = n.attrs.get("backend_node_id")
         return self.meta.get(i) if i else None
 
-    def kind(self, n: Node) -> str | None:
-        t, role, d = n.attrs.get("type", "").lower(), n.attrs.get("role", "").lower(), self.data(n)
-        if n.attrs.get("contenteditable") == "true":
-            k = "textarea"
-        elif n.tag == "input":
-            k = "checkbox" if t in ("checkbox", "radio") else "range" if t == "range" else "input" if t in INPUT_TYPES or not t else None
-        else:
-            k = BY_TAG.get(n.tag) if n.tag in ("textarea", "select", "a", "img", "form") else BY_ROLE.get(role) or BY_TAG.get(n.tag)
-        return None if k in NEEDS_META and d is None else k
-
     def hidden(self, d: dict | None) -> bool:
         if d is None:
             return False
         if (d.get("computed_style") or {}).get("display") != "contents" and ((self.visible and not d.get("is_visible")) or (self.frontmost and not d.get("is_frontmost"))):
             return True
-        r = d.get("bounding_client_rect")
-        if self.view and r:
-            x0, y0, x1, y1 = self.view
+        if self.view:
+            r, (x0, y0, x1, y1) = d["bounding_client_rect"], self.view
             return not (r["x"] <= x1 and x0 <= r["x"] + r["width"] and r["y"] <= y1 and y0 <= r["y"] + r["height"])
         return False
 
-    def expand(self, n: Node, allowed: frozenset | None, depth: int = 0) -> list[tuple[str, str]]:
-        """(type, text) of what stands in ``n``."""
-        out = []
-        for c in n.children:
-            if isinstance(c, str):
-                if (allowed is None or "text" in allowed) and not self.hidden(self.data(n)):
-                    out.append(("text", c.strip()))
-                continue
-            k = self.kind(c)
-            if k and (allowed is None or k in allowed) and not self.hidden(self.data(c)):
-                out.append((k, self.draw(k, c, depth)))
-            elif depth < 200:
-                out += self.expand(c, allowed, depth + 1)
+    def expand(self, n: "Node", allowed: set[str] | None, level: int = 0) -> list[Part]:
+        """(type, text, element) of what stands in ``n``. Text shows as the element before it does, or as that around it."""
+        out, todo = [], [(n, iter(n.children), n)]
+        while todo:
+            around, rest, before = todo.pop()
+            for c in rest:
+                if isinstance(c, str):
+                    if (allowed is None or "text" in allowed) and not self.hidden(self.data(before)):
+                        out.append(("text", c.strip(), None))
+                    continue
+                before, d = c, self.data(c)
+                s = None if self.hidden(d) else next((s for s in candidates(c) if (allowed is None or s.name in allowed) and s.matches(c, d)), None)
+                if s is None:
+                    todo += [(around, rest, c), (c, iter(c.children), c)]
+                    break
+                out.append((s.name, s.draw(self, c, d or {}, self.expand(c, s.inside, level + s.indent), level), c))
         return out
 
-    def inner(self, k: str, n: Node, depth: int) -> list[tuple[str, str]]:
-        return self.expand(n, ALLOWED.get(k), depth + 1)
-
-    def titled(self, n: Node, *names: str) -> str:
-        for a in names:
-            t = label(n.text()) if a == "#text" else label(n.attrs.get(a))
-            if t:
-                return t
+    def label_of(self, n: "Node") -> str:
+        """Text of the element that labels ``n``."""
         by = self.tree.by_id.get(n.attrs.get("aria-labelledby", ""))
-        return label(by.text()) if by else ""
-
-    def draw(self, k: str, n: Node, depth: int) -> str:
-        d = self.data(n) or {}
-        mark = f"[id: {d.get('backend_node_id') or n.attrs.get('backend_node_id')}]"
-        if k in ("ordered", "unordered"):
-            level = getattr(self, "level", 0)
-            self.level = level + 1
-            parts = self.inner(k, n, depth)
-            self.level = level
-            lines = [("  " * level + (f"{i}." if k == "ordered" else "*") + " " if t == "item" else "  " * level + " ") + s.strip() for i, (t, s) in enumerate(parts, 1)]
-            return "\n" + "\n".join(lines) + "\n"
-        if k == "table":
-            rows = [s for t, s in self.inner(k, n, depth) if t == "row"]
-            width = max((len(r.split("|")) for r in rows), default=0)
-            rows = [r + " |" * (width - len(r.split("|"))) for r in rows]
-            return "\n".join(rows[:1] + ["| " + " | ".join(["---"] * max(width - 2, 1)) + " |"] + rows[1:]) if rows else ""
-        if k == "row":
-            cells = []
-            for c in n.children:
-                if isinstance(c, Node) and self.kind(c) == "cell":
-                    span = c.attrs.get("colspan", "")
-                    cells.append(self.draw("cell", c, depth) + " |" * (int(span) - 1 if span.isdigit() and 1 < int(span) < 1000 else 0))
-            return "| " + " | ".join(cells) + " |"
-        if k in ("item", "cell"):
-            s = joined([t for _, t in self.inner(k, n, depth)])
-            return re.sub(r"\s*\n+\s*", " ", s).strip() if k == "cell" else s
-        body = "" if k in ("image", "rule", "code") else joined([t for _, t in self.inner(k, n, depth)])
-        if k == "heading":
-            n_hash = int(n.tag[1]) if re.fullmatch("h[1-6]", n.tag) else 1
-            return f"\n{'#' * n_hash} {body}\n"
-        if k == "image":
-            t = self.titled(n, "alt", "name", "title", "aria-label", "src")
-            return f"{t} image" if t else "image"
-        if k == "link":
-            if not d:
-                return f"[{body}]({label(n.attrs.get('href'))})"
-            what = "dropdown" if "aria-haspopup" in n.attrs else "link"
-            return f"{mark} {self.titled(n, 'title', 'aria-label', '#text', 'href') or '#'} {what}"
-        wrap = {"bold": ("**", "**"), "underline": ("__", "__"), "strike": ("~~", "~~"), "italic": ("*", "*")}.get(k)
-        if wrap:
-            return wrap[0] + (body or ("(icon)" if k == "italic" else "")) + wrap[1]
-        if k == "code":
-            return "\n```\n\n```\n" if "\n" in n.text() else "``"
-        if k == "quote":
-            return "\n> " + re.sub(r"\n+", " ", body).strip() + "\n"
-        if k == "rule":
-            return "\n---\n"
-        if k == "form":
-            name = label(n.attrs.get("name") or n.attrs.get("aria-label") or "")
-            return "\n## " + (name + " form").strip().title() + "\n" + "\n".join(t for _, t in self.inner(k, n, depth))
-        title = self.titled(n, "name", "title", "aria-label", "placeholder")
-        value = label(d.get("editable_value") or n.attrs.get("value") or n.attrs.get("placeholder"))
-        if k == "button":
-            t = self.titled(n, "name", "title", "aria-label", "#text")
-            kind = n.attrs.get("type", "")
-            return joined([mark, t or "#", kind if kind not in ("", "button") else "", n.attrs.get("role") or "button"])
-        if k == "checkbox":
-            on = n.attrs.get("aria-checked") or ("true" if "checked" in n.attrs else label(d.get("editable_value")) or "false")
-            return f'{mark} "{on}" ({joined([title, "checkbox"])})'
-        if k == "input":
-            kind = n.attrs.get("type", "text") or "text"
-            return f"{mark} {self.titled(n, 'value', 'name', 'title', 'aria-label') or '#'} button" if kind in BUTTON_TYPES else f'{mark} "{value}" ({joined([title, kind, "input"])})'
-        if k == "range":
-            a = n.attrs
-            shown, real = label(a.get("aria-valuetext")) or "None", value or label(a.get("aria-valuenow"))
-            return f'{mark} "{shown} ({real})" ({joined([title, "range slider"])} min: {a.get("min") or a.get("aria-valuemin", "")} max: {a.get("max") or a.get("aria-valuemax", "")} step: {a.get("step", "")})'
-        if k == "select":
-            options = [label(o.text()) for o in _options(n)]
-            i = d.get("editable_value")
-            chosen = options[int(i)] if isinstance(i, str) and i.isdigit() and int(i) < len(options) else ""
-            return f'{mark} "{chosen}" ({joined([title, "select from:"])} {", ".join(options)})'
-        if k == "textarea":
-            return f'{mark} """\n{(d.get("editable_value") or n.text()).strip()}\n""" ({joined([title, "textbox"])})'
-        parts = self.inner(k, n, depth)  # dropdown
-        if len(parts) <= 1:
-            return f'{mark} "{parts[0][1] if parts else "None selected"}" {joined([title, "dropdown"])}'
-        return "\n" + "\n".join("* " + t.strip() for _, t in parts) + "\n"
-
-
-def _options(n: Node) -> list[Node]:
-    out = []
-    for c in n.children:
+        t = "".join(by.texts()) if by else ""
+        return "" if t in EMPTY else t
+
+    def titled(self, n: "Node", *names: str, default: str = "") -> str:
+        return next((t for t in (label(n.attrs.get(a)) for a in names) if t), default)
+
+    def widget(self, n: "Node", kind: str) -> str:
+        return joined([self.titled(n, "name", "title", "aria-label", default=self.label_of(n)), kind])
+
+
+def mark(d: dict) -> str:
+    return f"[id: {d['backend_node_id']}]"
+
+
+def draw_list(sign: str) -> Callable:
+    def draw(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+        lines = [f"{INDENT * level}{sign.format(i) if k == 'item' else ''} {t.strip()}" for i, (k, t, _) in enumerate(parts, 1)]
+        return "\n" + "\n".join(lines) + "\n"
+
+    return draw
+
+
+def draw_table(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    if not parts:
+        return ""
+    rows = [t for _, t, _ in parts]
+    width = max(len(r.split("|")) for r in rows)
+    rows = [r + " | " * (width - len(r.split("|"))) for r in rows]
+    return "\n" + "\n".join([rows[0], " --- ".join(["|"] * (width - 1)), *rows[1:]]) + "\n"
+
+
+def draw_row(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    cells = []
+    for _, t, c in parts:
+        span = c.attrs.get("colspan", "1")
+        cells.append(no_newlines(t) + " | " * (int(span) - 1 if span.isdecimal() and 1 < int(span) <= 1000 else 0))  # 1000: the limit of HTML itself
+    return "| " + " | ".join(cells) + " |"
+
+
+def draw_link(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    if not d:
+        href = n.attrs.get("href")
+        return f"[{inner(parts)}]({None if href is None else label(href)})"
+    text = label(inner(parts)) or label(n.attrs.get("href")) or "#"
+    return f"{mark(d)} {page.titled(n, 'title', 'aria-label', default=text)} {'dropdown' if 'aria-haspopup' in n.attrs else 'link'}"
+
+
+def wrapped(sign: str, empty: str = "") -> Callable:
+    return lambda page, n, d, parts, level: f"{sign}{inner(parts) or empty}{sign}"
+
+
+def draw_button(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    kind = n.attrs.get("type")
+    title = joined([page.titled(n, "name", "title", "aria-label", default=label(inner(parts))), kind if kind and kind != "button" else ""])
+    return f"{mark(d)} {title or '#'} {n.attrs.get('role', 'button')}"
+
+
+def draw_checkbox(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    # a bare attribute counts as set
+    on = n.attrs.get("aria-checked") or (n.attrs.get("checked") or "checked" if "checked" in n.attrs else None) or d.get("editable_value")
+    return f'{mark(d)} "{on}" ({page.widget(n, "checkbox")})'
+
+
+def draw_input(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    kind = n.attrs.get("type")
+    if n.tag == "button" or kind in BUTTON_TYPES:
+        title = joined([page.titled(n, "name", "title", "aria-label", default=label(inner(parts))), kind if kind and kind != "button" else ""])
+        return f"{mark(d)} {title or '#'} button"
+    value = d.get("editable_value") or n.attrs.get("value") or n.attrs.get("placeholder") or ""
+    return f'{mark(d)} "{value}" ({page.widget(n, kind or "text")} input)'
+
+
+def draw_range(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    a = n.attrs
+    ends = (("min", a.get("min") or a.get("aria-valuemin")), ("max", a.get("max") or a.get("aria-valuemax")), ("step", a.get("step") or a.get("aria-valuetext")))
+    title = joined([page.widget(n, "range slider"), *[f"{k}: {v}" for k, v in ends if v is not None]])
+    return f'{mark(d)} "{a.get("aria-valuetext")} ({d.get("editable_value") or a.get("aria-valuenow") or a.get("value")})" ({title})'
+
+
+def draw_select(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    options, todo = [], list(reversed(n.children))
+    while todo:
+        c = todo.pop()
         if isinstance(c, Node):
-            out += [c] if c.tag == "option" else _options(c)
-    return out
+            if c.tag == "option":
+                options.append(label("".join(c.texts())))
+            else:
+                todo.extend(reversed(c.children))
+    i = str(d.get("editable_value"))
+    return f'{mark(d)} "{options[int(i)] if i.isdecimal() and int(i) < len(options) else ""}" ({page.widget(n, "select")} from: {", ".join(options)})'
+
+
+def draw_textarea(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    content = n.attrs.get("aria-valuetext") or d.get("editable_value") or n.attrs.get("value") or n.attrs.get("placeholder") or ""
+    return f'{mark(d)} """\n{content}\n""" ({page.widget(n, "textbox")})'
+
+
+def draw_dropdown(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    title = page.widget(n, "dropdown")
+    if len(parts) <= 1:
+        return f'{mark(d)} "{label(inner(parts)) or "None selected"}" {title}'
+    lines = [f"{INDENT * level}* {t.strip()}" for _, t, _ in parts]
+    return f"{mark(d)} {title}\n" + "\n".join(lines) + "\n"
+
+
+def draw_form(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    title = joined(["##", page.titled(n, "name", "title", "aria-label", "role", "action"), "form"])
+    return f"\n{title.title()}\n" + "\n".join(t for _, t, _ in parts)
 
 
-def render(html: str | None, metadata: dict | None = None, visible: bool = False, frontmost: bool = False, view: tuple | None = None) -> str:
-    """Markdown of a page; an empty or unreadable page gives a fixed message."""
+def draw_image(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    return joined([page.titled(n, "alt", "name", "title", "aria-label", "src"), "image"])
+
+
+def draw_heading(page: Page, n: "Node", d: dict, parts: list[Part], level: int) -> str:
+    return f"\n{'#' * (int(n.tag[1]) if re.fullmatch('h[1-6]', n.tag) else 1)} {inner(parts)}\n"
+
+
+def _words(text: str) -> frozenset[str]:
+    return frozenset(text.split())
+
+
+def _register_all() -> None:
+    """The node types. Tags, roles, types, priorities, and what may stand in what."""
+    inline = _words("text bold italic underline strike inline_code")
+    lists = _words("list menu menubar radiogroup tablist tree")
+
+    def add(name: str, draw: Callable, tags: str = "", roles: str | frozenset = "", inside: frozenset | None = inline, **more: object) -> None:
+        roles = _words(roles) if isinstance(roles, str) else roles
+        register(Schema(name, draw, _words(tags), {"role": roles} if roles else None, None if inside is None else set(inside), **more))
+
+    add("ordered", draw_list("{}."), "ol", lists, inline | {"item", "link", "image"}, indent=1)
+    add("unordered", draw_list("*"), "ul", lists, inline | {"item", "link", "image"}, indent=1)
+    add("item", lambda page, n, d, parts, level: inner(parts), "li", "listitem menuitem radio tab treeitem", inline | {"link", "image", "heading", "ordered", "unordered"})
+    add("table", draw_table, "table", "table grid treegrid", frozenset({"row"}))
+    add("row", draw_row, "tr", "row", frozenset({"cell"}))
+    add("cell", lambda page, n, d, parts, level: no_newlines(inner(parts)), "th td", "rowheader gridcell columnheader", inline | {"link", "image", "heading", "ordered", "unordered"})
+    add("heading", draw_heading, "h1 h2 h3 h4 h5 h6", "heading tab", inline | {"image"})
+    add("link", draw_link, "a")
+    add("bold", wrapped("**"), "b strong")
+    add("italic", wrapped("*", "(icon)"), "i em")
+    add("underline", wrapped("__"), "u")
+    add("strike", wrapped("~~"), "s strike del")
+    add("inline_code", lambda page, n, d, parts, level: f"`{inner(parts)}`", "code pre", inside=frozenset(), test=lambda n: "\n" not in "".join(n.texts()))
+    add("fenced_code", lambda page, n, d, parts, level: f"\n```\n{inner(parts)}\n```\n", "code pre", inside=frozenset(), test=lambda n: "\n" in "".join(n.texts()))
+    add("quote", lambda page, n, d, parts, level: f"\n> {no_newlines(inner(parts))}\n", "blockquote")
+    add("rule", lambda page, n, d, parts, level: "\n---\n", "hr", inside=frozenset())
+
+    def widget(name: str, draw: Callable, priority: int, tags: str = "", metadata: bool = True, **attributes: str | frozenset) -> None:
+        values = {k: _words(v) if isinstance(v, str) else v for k, v in attributes.items()}
+        register(Schema(name, draw, _words(tags), values, None, metadata), priority, ("link",))
+
+    # later ones of one priority come before earlier ones
+    widget("dropdown", draw_dropdown, 0, role="listbox combobox")
+    widget("input", draw_input, 0, role="input textfield", type=INPUT_TYPES)
+    widget("button", draw_button, 0, "button", role="button option")
+    widget("checkbox", draw_checkbox, 0, role="checkbox", type="checkbox radio")
+    widget("form", draw_form, 0, "form", metadata=False)
+    register(Schema("image", draw_image, _words("img"), None, set()), 0, ("image",))
+    register(Schema("link", draw_link, _words("a"), None, None, True), 0)
+    widget("range", draw_range, 0, role="slider spinbutton", type="range")
+    widget("select", draw_select, 0, "select")
+    widget("textarea", draw_textarea, 0, "textarea", role="textbox", contenteditable="true")
+
+
+_register_all()
+
+
+def render(html: str | None, metadata: dict | None = None, visible: bool = False, frontmost: bool = False, view: tuple | None = None, scrub: Callable[[str], str] | None = None) -> str:
+    """Markdown of a page; a page that is blank, unreadable or has unusable metadata gives a fixed message.
+
+    ``visible``, ``frontmost``, ``view``: leave out what the metadata show to be hidden, covered or out of view;
+    ``scrub``: applied to the finished text, for personal information.
+    """
     if not html or not html.strip():
         return FAILED
+    limit = sys.getrecursionlimit()
     try:
+        sys.setrecursionlimit(max(limit, 200_000))  # nested lists recurse; a page may nest them deeper than the interpreter's default
         tree = Tree()
         tree.feed(html)
         tree.close()
-        return joined([t for _, t in Renderer(tree, metadata, visible, frontmost, view).expand(tree.root, None)]) or FAILED
-    except RecursionError:
+        text = " ".join(t for _, t, _ in Page(tree, metadata, visible, frontmost, view).expand(tree.root, None))
+    except Exception:  # as any failure of one page: data, not an error of the job
         return FAILED
+    finally:
+        sys.setrecursionlimit(limit)
+    return scrub(text) if scrub and text != FAILED else text
 
 
-def markdown(pages: DataFrame, key: str = "obs_id", html: str = "raw_html") -> DataFrame:
-    """(key, markdown) of every row of ``pages``; null HTML gives the fixed message."""
+def markdown(
+    pages: DataFrame, key: str = "obs_id", html: str = "raw_html", metadata: str | None = None, visible: bool = False, frontmost: bool = False,
+    view: tuple[float, float, float, float] | None = None, scrub: Callable[[str], str] | None = None,
+) -> DataFrame:
+    """(key, markdown) of every row of ``pages``; null HTML gives the fixed message. Options as in :func:`render`.
+
+    Metadata travel only with pages whose elements carry ids.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.record_batch({key: b.column(0), "markdown": pa.array([render(h) for h in b.column(1).to_pylist()], pa.string())})
-
-    return pages.select(key, html).mapInArrow(run, f"{key} {dict(pages.dtypes)[key]}, markdown string")
+            metas = [dict(m) if m else None for m in b.column(2).to_pylist()]
+            for m in metas:
+                for v in (m or {}).values():
+                    if v and v.get("computed_style"):
+                        v["computed_style"] = dict(v["computed_style"])
+            texts = [render(h, m, visible, frontmost, view, scrub) for h, m in zip(b.column(1).to_pylist(), metas)]
+            yield pa.record_batch({key: b.column(0), "markdown": pa.array(texts, pa.string())})
+
+    none: Column = F.lit(None).cast("map<string,int>")
+    known = none if metadata is None else F.when(F.col(html).contains("backend_node_id"), F.col(metadata))
+    return pages.select(key, html, known.alias("metadata")).mapInArrow(run, f"{key} {dict(pages.dtypes)[key]}, markdown string")

@@ -45,15 +45,14 @@ def proposal(text: str | None) -> tuple[str, list[str], list[str]] | None:
 
 
 def calls(text: str | None) -> list[tuple[str, str]] | None:
-    """Function calls of an action; None where it cannot be read or names no known action."""
+    """Function calls of an action; None where it cannot be read, has arguments of the wrong kind, or makes no call.
+
+    An argument that is absent is printed as the parser's null, as agents were trained on.
+    """
     d = _load(text)
-    if d is None or "action_key" not in d:
+    if d is None:
         return None
-    key, args, target = d["action_key"], d.get("action_kwargs"), d.get("target_element_id")
-    if not isinstance(args, dict):
-        if key in ("click", "fill", "select_option", "set_checked", "scroll", "goto", "stop"):
-            return None
-        args = {}
+    key, args, target = d.get("action_key"), d.get("action_kwargs"), d.get("target_element_id")
     out = [("page.locator", f"\"[backend_node_id='{target}']\"")] if target is not None and key in ON_ELEMENT else []
     try:
         if key == "click" and "x" in args and "y" in args:
@@ -61,9 +60,9 @@ def calls(text: str | None) -> list[tuple[str, str]] | None:
         elif key == "scroll":
             out.append(("page.mouse.wheel", f"{args.get('delta_x', 0)},{args.get('delta_y', 0)}"))
         elif key == "goto":
-            out.append(("page.goto", f"'{args['url']}'"))
+            out.append(("page.goto", f"'{args.get('url')}'"))
         elif key == "stop":
-            out.append(("stop", str(args["answer"])))
+            out.append(("stop", str(args.get("answer"))))
         elif key in ("go_back", "go_forward"):
             out.append(("page.goBack" if key == "go_back" else "page.goForward", ""))
         elif out and key == "click":
@@ -71,16 +70,24 @@ def calls(text: str | None) -> list[tuple[str, str]] | None:
         elif out and key == "hover":
             out.append(("hover", ""))
         elif out and key == "fill":
-            out.append(("fill", f"'{args['value']}'"))
+            out.append(("fill", f"'{args.get('value')}'"))
         elif out and key == "select_option":
-            out.append(("selectOption", f"'{args['label']}'"))
+            out.append(("selectOption", f"'{args.get('label')}'"))
         elif out and key == "set_checked":
-            out.append(("setChecked", "true" if args["checked"] else "false"))
-    except KeyError:
+            out.append(("setChecked", "true" if args.get("checked") else "false"))
+    except (AttributeError, TypeError):
         return None
     return out or None
 
 
+def keyed(text: str | None) -> tuple[str, str, str] | None:
+    """The three keys of an action that makes a call, each as JSON text in its own order; None where one is absent."""
+    d = _load(text)
+    if d is None or calls(text) is None or not {"action_key", "target_element_id", "action_kwargs"} <= d.keys():
+        return None
+    return json.dumps(d["action_key"]), json.dumps(d["target_element_id"]), json.dumps(d["action_kwargs"])
+
+
 def _apply(df: DataFrame, key: str, fields: list[tuple[str, str, pa.DataType]], read) -> DataFrame:
     """(key, parsed_ok, fields…) of ``df`` (key, response)."""
 
@@ -112,3 +119,9 @@ def parse_actions(df: DataFrame, key: str = "action_id") -> DataFrame:
         return None if got is None else ([{"dotpath": a, "args": b} for a, b in got],)
 
     return _apply(df, key, [("function_calls", "array<struct<dotpath:string,args:string>>", kind)], read)
+
+
+def action_keys(df: DataFrame, key: str = "action_id") -> DataFrame:
+    """(key, ok, action_key, target_element_id, action_kwargs) as JSON texts, null where the response makes no call or lacks a key."""
+    out = _apply(df, key, [(k, "string", pa.string()) for k in ("action_key", "target_element_id", "action_kwargs")], keyed)
+    return out.withColumnRenamed("parsed_ok", "ok")

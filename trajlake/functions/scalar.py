@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 DEFAULT_WEBSITE = "duckduckgo.com"
 
 #: Labels that count as empty.
-EMPTY_LABELS = ("", "None", "none", "null", "undefined", "NaN", "nan")
+EMPTY_LABELS = ("", "#", "##", "**", "__", "~~", "``", "''", '""', "[]", "{}", "()", "<>", "****", "____", "~~~~")
 MAX_LABEL = 64
 
 
@@ -73,7 +73,7 @@ def squeezed(text: Column) -> Column:
 
 
 def clean_label(text: Column) -> Column:
-    """Trimmed label; empty words give an empty label, long ones are cut to 64 characters and an ellipsis; null stays."""
+    """Trimmed label; left-over mark-up gives an empty label, long ones are cut to 64 characters and an ellipsis; null stays."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
     return F.when(t.isin(*EMPTY_LABELS), F.lit("")).when(F.length(t) > MAX_LABEL, F.concat(F.substring(t, 1, MAX_LABEL), F.lit("..."))).otherwise(t)
 
@@ -104,6 +104,17 @@ def fenced_json(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, r"(?s)```json\n(.*)\n```", 1), F.lit(""))
 
 
+def reward(ok: Column, gold: Column) -> Column:
+    """0 for an action that cannot be read; else 0.1, and 0.3 for each of key, target and arguments equal to ``gold``'s, as JSON text."""
+    parts = [F.coalesce(F.col(k) == gold[k], F.lit(False)).cast("double") * 0.3 for k in ("action_key", "target_element_id", "action_kwargs")]
+    return F.when(ok, F.round(F.lit(0.1) + parts[0] + parts[1] + parts[2], 6)).otherwise(0.0)
+
+
+def fence(text: Column, kind: str = "json") -> Column:
+    """Bare action text as the fence that :func:`fenced_json` reads."""
+    return F.concat(F.lit(f"Here is the action:\n\n```{kind}\n"), text, F.lit("\n```"))
+
+
 def seeded_order(seed: int, key: Column) -> Column:
     """Sort key of a shuffle that any engine can repeat."""
     return F.md5(F.concat(F.lit(f"{seed}-"), key.cast("string")))

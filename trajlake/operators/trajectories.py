@@ -44,6 +44,18 @@ def best_runs(judgments: DataFrame, key: str = "task_id") -> DataFrame:
     return judgments.where(F.col(key).isNotNull()).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+def passed_by_all(judgments: DataFrame, judges: list[str], observations: DataFrame, actions: DataFrame, success: float = 0.5, efficiency: float = 0.0, self_correction: float = 0.0) -> DataFrame:
+    """(task_id, run_id) of complete runs that every judge of ``judges`` passes: success with efficiency or self-correction.
+
+    The last judgment of a judge on a run counts; a run that a judge has not seen fails. One group per run, no run is
+    gathered: a judge is one flag.
+    """
+    good = passes(F.col("success"), success) & (passes(F.col("efficiency"), efficiency) | passes(F.col("self_correction"), self_correction))
+    last = judgments.where(F.col("source").isin(judges) & F.col("task_id").isNotNull()).groupBy(*RUN, "source").agg(F.max_by(good, "judgment_id").alias("ok"))
+    runs = last.groupBy(*RUN).agg(F.bool_and("ok").alias("ok"), F.count("*").alias("n")).where(F.col("ok") & (F.col("n") == len(set(judges)))).select(*RUN)
+    return runs.join(observations.select(*RUN), RUN, "left_semi").join(actions.select(*RUN), RUN, "left_semi")
+
+
 def fractions(judgments: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Share of rows with each score above ``threshold``, null as 0."""
     return judgments.agg(*[F.avg((F.coalesce(m, F.lit(0.0)) > threshold).cast("double")).alias(f"{m}_share") for m in SCORES])

@@ -122,7 +122,7 @@ def target_boxes(spark: SparkSession, d: str) -> DataFrame:
 
 @query(
     """WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s, regexp_replace(regexp_replace(text, chr(10) || '+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS line FROM documents)
-    SELECT doc_id, CASE WHEN s IN ('', 'None', 'none', 'null', 'undefined', 'NaN', 'nan') THEN '' WHEN length(s) > 64 THEN substr(s, 1, 64) || '...' ELSE s END AS label, line FROM t"""
+    SELECT doc_id, CASE WHEN s IN ('', '#', '##', '**', '__', '~~', '``', '''''', '\"\"', '[]', '{}', '()', '<>', '****', '____', '~~~~') THEN '' WHEN length(s) > 64 THEN substr(s, 1, 64) || '...' ELSE s END AS label, line FROM t"""
 )
 def labels(spark: SparkSession, d: str) -> DataFrame:
     """Cleaned labels and one-line texts."""
@@ -170,11 +170,11 @@ def parsed_proposals(spark: SparkSession, d: str) -> DataFrame:
       WHEN k = 'click' AND json_type(a) = 'OBJECT' AND t IS NOT NULL THEN 'click({ force: true })'
       WHEN k = 'hover' AND t IS NOT NULL THEN 'hover()'
       WHEN k = 'scroll' AND json_type(a) = 'OBJECT' THEN 'page.mouse.wheel(' || coalesce(a->>'delta_x', '0') || ',' || coalesce(a->>'delta_y', '0') || ')'
-      WHEN k = 'fill' AND t IS NOT NULL THEN 'fill(''' || (a->>'value') || ''')'
-      WHEN k = 'select_option' AND t IS NOT NULL THEN 'selectOption(''' || (a->>'label') || ''')'
-      WHEN k = 'set_checked' AND t IS NOT NULL THEN 'setChecked(' || (a->>'checked') || ')'
+      WHEN k = 'fill' AND t IS NOT NULL THEN 'fill(''' || coalesce(a->>'value', 'None') || ''')'
+      WHEN k = 'select_option' AND t IS NOT NULL THEN 'selectOption(''' || coalesce(a->>'label', 'None') || ''')'
+      WHEN k = 'set_checked' AND t IS NOT NULL THEN 'setChecked(' || CASE WHEN coalesce(a->>'checked', 'false') IN ('false', '', '0') THEN 'false' ELSE 'true' END || ')'
       WHEN k = 'go_back' THEN 'page.goBack()' WHEN k = 'go_forward' THEN 'page.goForward()'
-      WHEN k = 'goto' THEN 'page.goto(''' || (a->>'url') || ''')' WHEN k = 'stop' THEN 'stop(' || (a->>'answer') || ')' END AS call FROM p)
+      WHEN k = 'goto' AND json_type(a) = 'OBJECT' THEN 'page.goto(''' || coalesce(a->>'url', 'None') || ''')' WHEN k = 'stop' AND json_type(a) = 'OBJECT' THEN 'stop(' || coalesce(a->>'answer', 'None') || ')' END AS call FROM p)
     SELECT action_id, call IS NOT NULL AS parsed_ok,
       CASE WHEN call IS NOT NULL THEN CASE WHEN t IS NOT NULL AND k IN ('click', 'hover', 'fill', 'select_option', 'set_checked') THEN 'page.locator("[backend_node_id=''' || t || ''']").' ELSE '' END || call END AS chain FROM c"""
 )
@@ -218,15 +218,14 @@ def zipped_steps(spark: SparkSession, d: str) -> DataFrame:
     return o.join(a, [*ops.RUN, "n"])
 
 
-@query("""SELECT identifier, count(DISTINCT source) AS judges FROM (SELECT identifier, source, bool_or(coalesce(success > 0.5, false)) AS ok FROM judgments WHERE identifier IS NOT NULL GROUP BY identifier, source)
-    GROUP BY identifier HAVING bool_and(ok) AND count(DISTINCT source) = (SELECT count(DISTINCT source) FROM judgments)""")
+@query("""WITH l AS (SELECT task_id, run_id, source, success > 0.5 AND (efficiency IS NOT NULL OR self_correction IS NOT NULL) AS ok, row_number() OVER (PARTITION BY task_id, run_id, source ORDER BY judgment_id DESC) AS n FROM judgments
+      WHERE task_id IS NOT NULL AND source IN (SELECT source FROM judgments WHERE source IS NOT NULL GROUP BY source ORDER BY count(*) DESC, source LIMIT 1))
+    SELECT j.task_id, j.run_id FROM l j WHERE n = 1 AND coalesce(ok, false) AND EXISTS (SELECT 1 FROM observations o WHERE o.task_id = j.task_id AND o.run_id = j.run_id) AND EXISTS (SELECT 1 FROM actions a WHERE a.task_id = j.task_id AND a.run_id = j.run_id)""")
 def all_judges(spark: SparkSession, d: str) -> DataFrame:
-    """Sites that every judge model passes at least once."""
+    """Runs with observations and actions that every judge of a list passes; here the list is the most used judge alone."""
     j = table(spark, d, "judgments")
-    judges = j.agg(F.countDistinct("source").alias("all"))
-    by = j.where("identifier is not null").groupBy("identifier", "source").agg(F.bool_or(scalar.passes(F.col("success"), 0.5)).alias("ok"))
-    g = by.groupBy("identifier").agg(F.bool_and("ok").alias("ok"), F.count("source").alias("judges"))
-    return g.where("ok").join(F.broadcast(judges), F.col("judges") == F.col("all")).select("identifier", "judges")
+    first = [r[0] for r in j.where("source is not null").groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").limit(1).collect()]
+    return ops.passed_by_all(j, first, table(spark, d, "observations"), table(spark, d, "actions"))
 
 
 @query("""SELECT task_id, bool_or(coalesce(success > 0.5, false)) AS any_run, count(*) AS runs FROM judgments GROUP BY task_id""")
@@ -283,11 +282,12 @@ def data_errors(spark: SparkSession, d: str) -> DataFrame:
     return j.join(bad, ops.RUN, "left").select("judgment_id", (F.col("response").isNull() | F.coalesce("bad", F.lit(False))).alias("faulty"))
 
 
-@query("""SELECT judgment_id, n_steps FROM (SELECT j.judgment_id, count(*) AS n_steps FROM judgments j JOIN actions a ON a.task_id = j.task_id AND a.run_id = j.run_id WHERE j.success > 0.9 AND j.efficiency > 0.5 GROUP BY 1) ORDER BY n_steps DESC, judgment_id LIMIT 10""")
+@query("""SELECT judgment_id, len(t.steps) AS n_steps FROM judgments j JOIN tasks t ON t.task_id = j.task_id WHERE j.success = 1 AND j.efficiency = 1 AND t.steps IS NOT NULL ORDER BY n_steps DESC, judgment_id LIMIT 10""")
 def hardest_solved(spark: SparkSession, d: str) -> DataFrame:
-    """Top ten solved runs by length: the limit is the feature."""
-    j = table(spark, d, "judgments").where("success > 0.9 and efficiency > 0.5").select("judgment_id", *ops.RUN)
-    return j.join(table(spark, d, "actions").select(*ops.RUN), ops.RUN).groupBy("judgment_id").agg(F.count("*").alias("n_steps")).orderBy(F.desc("n_steps"), "judgment_id").limit(10)
+    """The ten runs that solved the tasks of most steps with full marks: the limit is the feature."""
+    full = scalar.passes(F.col("success"), 1.0) & scalar.passes(F.col("efficiency"), 1.0)
+    t = table(spark, d, "tasks").where("steps is not null").select("task_id", F.size("steps").cast("long").alias("n_steps"))
+    return table(spark, d, "judgments").where(full).select("judgment_id", "task_id").join(t, "task_id").select("judgment_id", "n_steps").orderBy(F.desc("n_steps"), "judgment_id").limit(10)
 
 
 @query("""SELECT p.proposal_id, p.proposed_task FROM proposals p WHERE proposed_task IS NOT NULL AND steps IS NOT NULL AND criteria IS NOT NULL AND identifier IS NOT NULL
@@ -307,22 +307,23 @@ def sft_selected(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "judgments").select("judgment_id", ((s & e) | (s & c)).alias("selected"))
 
 
-@query("""WITH v AS (SELECT action_id, task_id, run_id, step_idx, CASE WHEN json_valid(matched_response) THEN matched_response::json END AS j FROM actions),
-    p AS (SELECT *, json_exists(j, '$.action_key') AND json_exists(j, '$.action_kwargs') AND json_exists(j, '$.target_element_id') AS ok FROM v),
+CHAIN_OK = "k IN ('go_back', 'go_forward') OR (k IN ('scroll', 'goto', 'stop') AND json_type(a) = 'OBJECT') OR (k = 'click' AND json_type(a) = 'OBJECT' AND (t IS NOT NULL OR (json_exists(a, '$.x') AND json_exists(a, '$.y')))) OR (k = 'hover' AND t IS NOT NULL) OR (k IN ('fill', 'select_option', 'set_checked') AND t IS NOT NULL AND json_type(a) = 'OBJECT')"
+
+
+@query(f"""WITH b AS (SELECT action_id, task_id, step_idx, nullif(regexp_extract(response, '(?s)```json\\n(.*)\\n```', 1), '') AS block FROM actions),
+    v AS (SELECT action_id, task_id, step_idx, CASE WHEN json_valid(block) THEN block::json END AS j FROM b),
+    f AS (SELECT action_id, task_id, step_idx, j, j->>'action_key' AS k, j->'action_kwargs' AS a, CASE WHEN json_type(j->'target_element_id') <> 'NULL' THEN j->>'target_element_id' END AS t FROM v),
+    p AS (SELECT action_id, task_id, step_idx, j, coalesce(json_type(j) = 'OBJECT' AND json_exists(j, '$.action_key') AND json_exists(j, '$.action_kwargs') AND json_exists(j, '$.target_element_id') AND ({CHAIN_OK}), false) AS ok FROM f),
     g AS (SELECT task_id, step_idx, min(action_id) AS gold FROM p WHERE ok GROUP BY ALL)
-    SELECT a.action_id, CASE WHEN coalesce(a.ok, false) THEN round(0.1 + 0.3 * ((a.j->>'action_key') = (b.j->>'action_key'))::int + 0.3 * coalesce((a.j->'target_element_id')::varchar = (b.j->'target_element_id')::varchar, false)::int
-      + 0.3 * ((a.j->'action_kwargs')::varchar = (b.j->'action_kwargs')::varchar)::int, 6) ELSE 0.0 END::double AS reward
+    SELECT a.action_id, CASE WHEN a.ok THEN round(0.1 + 0.3 * coalesce((a.j->>'action_key') = (b.j->>'action_key'), false)::int + 0.3 * coalesce((a.j->'target_element_id')::varchar = (b.j->'target_element_id')::varchar, false)::int
+      + 0.3 * coalesce((a.j->'action_kwargs')::varchar = (b.j->'action_kwargs')::varchar, false)::int, 6) ELSE 0.0 END::double AS reward
     FROM p a JOIN g ON g.task_id = a.task_id AND g.step_idx = a.step_idx JOIN p b ON b.action_id = g.gold""")
 def rewards(spark: SparkSession, d: str) -> DataFrame:
-    """Reward of each action against the first well-formed one of its task and step: parse, key, target and arguments."""
-    v = F.try_parse_json("matched_response")
-    get = lambda k: F.to_json(F.try_variant_get("j", f"$.{k}", "variant"))
-    p = table(spark, d, "actions").select("action_id", "task_id", "step_idx", v.alias("j"))
-    p = p.select("action_id", "task_id", "step_idx", *[get(k).alias(k) for k in ("action_key", "action_kwargs", "target_element_id")], F.coalesce(F.schema_of_variant("j").rlike("action_key.*action_kwargs.*target_element_id"), F.lit(False)).alias("ok"))
-    gold = p.where("ok").groupBy("task_id", "step_idx").agg(F.min_by(F.struct("action_key", "action_kwargs", "target_element_id"), "action_id").alias("g"))
-    same = lambda k: F.coalesce(F.col(k) == F.col(f"g.{k}"), F.lit(False)).cast("double") * 0.3
-    score = F.round(F.lit(0.1) + same("action_key") + same("target_element_id") + same("action_kwargs"), 6)
-    return p.join(gold, ["task_id", "step_idx"]).select("action_id", F.when(F.col("ok"), score).otherwise(0.0).alias("reward"))
+    """Reward of each action's response against the first well-formed one of its task and step, standing in for a gold answer."""
+    a = table(spark, d, "actions").select("action_id", "task_id", "step_idx", "response")
+    p = a.join(parse.action_keys(a), "action_id")
+    gold = p.where("ok").groupBy("task_id", "step_idx").agg(F.min_by(F.struct("action_key", "target_element_id", "action_kwargs"), "action_id").alias("gold"))
+    return p.join(gold, ["task_id", "step_idx"]).select("action_id", scalar.reward(F.col("ok"), F.col("gold")).alias("reward"))
 
 
 @query("""SELECT obs_id, back FROM (SELECT obs_id, row_number() OVER (PARTITION BY task_id, run_id ORDER BY step_idx DESC, obs_id DESC) - 1 AS back FROM observations) WHERE back < 5""")
@@ -440,5 +441,5 @@ def env_steps(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def page_markdown(spark: SparkSession, d: str) -> DataFrame:
-    """Markdown of every page's HTML."""
-    return markdown(table(spark, d, "observations"))
+    """Markdown of every page's HTML, with the page's node metadata: hidden and covered elements are left out."""
+    return markdown(table(spark, d, "observations"), metadata="metadata", visible=True, frontmost=True)
