@@ -5,7 +5,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from trajlake.plans import reference
+from trajlake.plans import chats, reference  # noqa: F401
 
 D = "/root/testdata/sf0.001"
 

@@ -125,3 +125,8 @@ def action_keys(df: DataFrame, key: str = "action_id") -> DataFrame:
     """(key, ok, action_key, target_element_id, action_kwargs) as JSON texts, null where the response makes no call or lacks a key."""
     out = _apply(df, key, [(k, "string", pa.string()) for k in ("action_key", "target_element_id", "action_kwargs")], keyed)
     return out.withColumnRenamed("parsed_ok", "ok")
+
+
+def parse_objects(df: DataFrame, key: str = "action_id") -> DataFrame:
+    """(key, parsed_ok, object): the fenced JSON object of a response as text, whatever its keys."""
+    return _apply(df, key, [("object", "string", pa.string())], lambda t: None if (d := _load(t)) is None else (json.dumps(d),))

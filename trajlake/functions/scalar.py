@@ -28,10 +28,41 @@ def numbered(items: Column) -> Column:
     return F.coalesce(F.array_join(lines, "\n"), F.lit(""))
 
 
-def decorated(instruction: Column, steps: Column, criteria: Column) -> Column:
-    """The instruction with its steps, then its criteria, each only where the list has members."""
-    with_steps = F.when(F.size(F.coalesce(steps, F.array().cast("array<string>"))) > 0, F.concat(instruction, F.lit("\n\nSteps to follow:\n"), numbered(steps))).otherwise(instruction)
-    return F.when(F.size(F.coalesce(criteria, F.array().cast("array<string>"))) > 0, F.concat(with_steps, F.lit("\n\nThe task is done when:\n"), numbered(criteria))).otherwise(with_steps)
+#: What stands before the steps and before the criteria, by who reads the instruction.
+ROLES = {
+    "agent": ("\n\nTo complete the task, let's follow these steps:\n", "\n\nTo complete the task, we must satisfy these criteria:\n"),
+    "judge": ("\n\nThe agent must follow these steps:\n", "\n\nThe agent must satisfy these criteria:\n"),
+    "proposer": ("\n\nThe agent must follow these steps:\n", "\n\nThe agent must satisfy these criteria:\n"),
+}
+
+
+def decorated(instruction: Column, steps: Column, criteria: Column, role: str = "agent") -> Column:
+    """The instruction with its steps, then its criteria, each only where the list has members, in the wording of ``role``."""
+    before_steps, before_criteria = ROLES[role]
+    size = lambda c: F.size(F.coalesce(c, F.array().cast("array<string>")))
+    with_steps = F.when(size(steps) > 0, F.concat(instruction, F.lit(before_steps), numbered(steps))).otherwise(instruction)
+    return F.when(size(criteria) > 0, F.concat(with_steps, F.lit(before_criteria), numbered(criteria))).otherwise(with_steps)
+
+
+#: What is kept of a node's metadata.
+METADATA_KEYS = ("backend_node_id", "bounding_client_rect", "computed_style", "scroll_left", "scroll_top", "editable_value", "is_visible", "is_frontmost")
+
+
+def kept_metadata(metadata: str) -> Column:
+    """The metadata map with the kept keys of each node alone, and of its style only the display."""
+
+    def node(_: Column, v: Column) -> Column:
+        display = F.map_filter(v["computed_style"], lambda k, _: k == "display")
+        return F.struct(*[(display if k == "computed_style" else v[k]).alias(k) for k in METADATA_KEYS])
+
+    return F.transform_values(metadata, node)
+
+
+def session_name(key: Column, first: list[str], second: list[str]) -> Column:
+    """A readable name of a session, one of ``first`` and one of ``second`` by the hash of ``key``; no product is built."""
+    h = F.xxhash64(key)
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), F.pmod(n, F.lit(len(words))).cast("int"))
+    return F.concat_ws("-", pick(first, h), pick(second, F.shiftrightunsigned(h, 32)))
 
 
 def first_filled(a: Column, b: Column, default: str) -> Column:

@@ -104,3 +104,28 @@ def prefixes(steps: DataFrame, last: int) -> DataFrame:
     """
     w = Window.partitionBy(*RUN).orderBy("step_idx").rowsBetween(-(last - 1), 0)
     return steps.select(*RUN, "step_idx", F.collect_list(F.struct("prompt", "target")).over(w).alias("window"), "target")
+
+
+def consistency_means(kept: DataFrame, success: float = 0.5, consistent: float = 0.5) -> DataFrame:
+    """(n_tasks, mean_success, mean_consistency) over the rows of :func:`consistency`."""
+    share = lambda c, t: F.round(F.avg((F.col(c) > t).cast("double")), 12)
+    return kept.agg(F.count("*").alias("n_tasks"), share("best", success).alias("mean_success"), share("consistency", consistent).alias("mean_consistency"))
+
+
+def trajectory_arrays(steps: DataFrame, of_observation: str, of_action: str) -> DataFrame:
+    """(task_id, run_id, two arrays named as their columns): parallel arrays by step. A run is as long as its cap on actions."""
+    rows = steps.groupBy(*RUN).agg(F.sort_array(F.collect_list(F.struct("step_idx", F.col(of_observation).alias("o"), F.col(of_action).alias("a")))).alias("x"))
+    return rows.select(*RUN, F.transform("x", lambda s: s["o"]).alias(of_observation), F.transform("x", lambda s: s["a"]).alias(of_action))
+
+
+def episodes(actions: DataFrame, max_actions: int, lost: str | None = None) -> DataFrame:
+    """(task_id, run_id, done, truncated, reward): a run folded by the step protocol of an environment.
+
+    A stop within the cap ends it; else reaching the cap truncates it. ``lost``: boolean column of steps whose session was
+    gone, which end and truncate a run. There is no reward before training.
+    """
+    stop = F.coalesce(F.get("function_calls", F.lit(0))["dotpath"] == "stop", F.lit(False))
+    gone = F.max(F.coalesce(F.col(lost), F.lit(False))) if lost else F.lit(False)
+    g = actions.where("task_id is not null").groupBy(*RUN).agg(F.min(F.when(stop, F.col("step_idx"))).alias("at"), F.max("step_idx").alias("last"), gone.alias("gone"))
+    stopped = F.coalesce(F.col("at") < max_actions, F.lit(False))
+    return g.select(*RUN, (stopped | F.col("gone")).alias("done"), (F.col("gone") | (~stopped & (F.col("last") >= max_actions - 1))).alias("truncated"), F.lit(0.0).alias("reward"))

@@ -33,10 +33,10 @@ NUM = "coalesce(array_to_string(list_transform({0}, lambda x, i: i || '. ' || x)
 
 @query(
     f"""WITH t AS (SELECT *, coalesce(website, domain, 'duckduckgo.com') AS site,
-      CASE WHEN len(steps) > 0 THEN instruction || chr(10) || chr(10) || 'Steps to follow:' || chr(10) || {NUM.format("steps")} ELSE instruction END AS s FROM tasks)
+      CASE WHEN len(steps) > 0 THEN instruction || chr(10) || chr(10) || 'To complete the task, let''s follow these steps:' || chr(10) || {NUM.format("steps")} ELSE instruction END AS s FROM tasks)
     SELECT task_id, site, CASE WHEN starts_with(site, 'http://') OR starts_with(site, 'https://') THEN site ELSE 'http://' || site END AS url,
       {NUM.format("steps")} AS numbered_steps,
-      CASE WHEN len(criteria) > 0 THEN s || chr(10) || chr(10) || 'The task is done when:' || chr(10) || {NUM.format("criteria")} ELSE s END AS full_instruction,
+      CASE WHEN len(criteria) > 0 THEN s || chr(10) || chr(10) || 'To complete the task, we must satisfy these criteria:' || chr(10) || {NUM.format("criteria")} ELSE s END AS full_instruction,
       coalesce(nullif(instruction, ''), nullif(identifier, ''), 'Explore the site') AS explore FROM t"""
 )
 def task_prompts(spark: SparkSession, d: str) -> DataFrame:
