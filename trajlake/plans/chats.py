@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajlake.functions import parse, scalar
-from trajlake.operators import chats
+from trajlake.operators import chats, loops, providers
 from trajlake.operators import trajectories as ops
 from trajlake.plans.reference import query
 from trajlake.runtime import table
+from trajlake.sources import io
 
 TOKENS, LENGTH = 2048, 4096
 #: Separator of messages in compared text.
@@ -190,3 +191,55 @@ def domain_tasks(spark: SparkSession, d: str) -> DataFrame:
 def episodes(spark: SparkSession, d: str) -> DataFrame:
     """Each run folded by the environment's protocol: done by a stop within the cap, else truncated when the cap is reached."""
     return ops.episodes(table(spark, d, "actions"), 30)
+
+
+@query("""SELECT website, instruction, identifier, len(steps) AS n_steps FROM tasks""")
+def task_table(spark: SparkSession, d: str) -> DataFrame:
+    """The task source with its aliases resolved."""
+    t = io.read_tasks(spark, f"{d}/tasks.parquet")
+    return t.select("website", "instruction", "identifier", F.when(F.col("steps").isNotNull(), F.size("steps").cast("long")).alias("n_steps"))
+
+
+@query("""SELECT website, count(*) AS n FROM tasks GROUP BY website""")
+def explored_sites(spark: SparkSession, d: str) -> DataFrame:
+    """Tasks per site as an explorer sees them: without instruction, steps and criteria."""
+    return io.exploration(io.resolve_tasks(table(spark, d, "tasks"))).groupBy("website").agg(F.count("*").alias("n"))
+
+
+@query("""WITH s AS (SELECT o.task_id, o.run_id, o.step_idx, a.stop FROM (SELECT DISTINCT task_id, run_id, step_idx FROM observations) o JOIN (SELECT task_id, run_id, step_idx, bool_or(coalesce(function_calls[1].dotpath = 'stop', false)) AS stop FROM actions GROUP BY ALL) a
+      ON a.task_id = o.task_id AND a.run_id = o.run_id AND a.step_idx = o.step_idx WHERE o.step_idx < 30),
+    w AS (SELECT *, row_number() OVER (PARTITION BY task_id, run_id ORDER BY step_idx) - 1 AS pos, coalesce(max(stop::int) OVER (PARTITION BY task_id, run_id ORDER BY step_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM s),
+    r AS (SELECT task_id, run_id, count(*) AS n_steps FROM w WHERE pos = step_idx AND ended = 0 GROUP BY task_id, run_id)
+    SELECT r.task_id, r.run_id, n_steps, EXISTS (SELECT 1 FROM judgments j WHERE j.task_id = r.task_id AND j.run_id = r.run_id) AS judged FROM r WHERE r.task_id IN (SELECT task_id FROM tasks)""")
+def replayed_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Trajectory generation in replay mode: how far each run's recorded steps go."""
+    return providers.replayed_runs(*[table(spark, d, t) for t in ("tasks", "observations", "actions", "judgments")])
+
+
+@query("""WITH p AS (SELECT * FROM proposals WHERE proposed_task IS NOT NULL AND steps IS NOT NULL AND criteria IS NOT NULL AND identifier IS NOT NULL)
+    SELECT identifier, proposed_task AS instruction, len(steps) AS n_steps FROM p WHERE EXISTS (SELECT 1 FROM judgments j WHERE j.task_id = p.task_id AND j.run_id = p.run_id AND j.success IS NOT NULL)
+    AND NOT EXISTS (SELECT 1 FROM judgments j WHERE j.task_id = p.task_id AND j.run_id = p.run_id AND j.success = 1)""")
+def refined_rounds(spark: SparkSession, d: str) -> DataFrame:
+    """Task table after three refinement rounds that replay the recorded proposals and judgments."""
+    p, j = table(spark, d, "proposals"), table(spark, d, "judgments")
+    end = loops.refine(table(spark, d, "tasks"), lambda tasks, i: (p, j), rounds=3)
+    return end.select("identifier", "instruction", F.size("steps").cast("long").alias("n_steps"))
+
+
+@query("""WITH s AS (SELECT o.current_url, a.action_id, a.function_calls FROM actions a JOIN (SELECT task_id, run_id, step_idx, arg_min(current_url, obs_id) AS current_url FROM observations GROUP BY ALL) o ON o.task_id = a.task_id AND o.run_id = a.run_id AND o.step_idx = a.step_idx)
+    SELECT action_id, array_to_string(list_transform(function_calls[1:3], lambda c: coalesce(c.dotpath, '') || '(' || coalesce(c.args, '') || ')'), '.') AS chain FROM s WHERE function_calls IS NOT NULL AND NOT coalesce(array_to_string(list_transform(function_calls, lambda c: c.dotpath), ' ') LIKE '%page.goto%', false)""")
+def sent_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Calls as a browser takes them: at most three an action; the twin leaves out goto calls, whose resolution is tested apart."""
+    o = table(spark, d, "observations").groupBy(*ops.RUN, "step_idx").agg(F.min_by("current_url", "obs_id").alias("current_url"))
+    a = table(spark, d, "actions").where(F.col("function_calls").isNotNull() & ~F.exists("function_calls", lambda c: F.coalesce(c["dotpath"].contains("page.goto"), F.lit(False))))
+    sent = providers.absolute_calls(a.join(o, [*ops.RUN, "step_idx"]), "action_id")
+    return sent.select("action_id", scalar.call_chain(F.col("function_calls")).alias("chain"))
+
+
+@query("""SELECT obs_id, identifier, step_idx FROM observations WHERE screenshot_path IS NOT NULL""")
+def reply_check(spark: SparkSession, d: str) -> DataFrame:
+    """Browser replies rebuilt as JSON from observations, checked and decoded again: those with every key come through."""
+    o = table(spark, d, "observations")
+    reply = F.to_json(F.struct(F.coalesce("raw_html", F.lit("")).alias("raw_html"), F.base64(F.encode("screenshot_path", "utf-8")).alias("screenshot"), F.lit("{}").alias("metadata"), "current_url"))
+    got = providers.valid_replies(o.select("obs_id", "identifier", "step_idx", reply.alias("reply")))
+    return got.where("screenshot is not null").select("obs_id", "identifier", "step_idx")

@@ -29,17 +29,40 @@ def read_entities(spark: SparkSession, path: str, entity: str) -> DataFrame:
     return out.where("_corrupt_record is null").drop("_corrupt_record")
 
 
-def write_entities(df: DataFrame, path: str, required: list[str] | None = None, mode: str = "overwrite") -> None:
-    """Partitioned table of an entity, in place of one file each; rows whose ``required`` arrays are empty are left out."""
+def write_entities(df: DataFrame, path: str, required: list[str] | None = None, by: list[str] | None = None, mode: str = "overwrite") -> None:
+    """Table of an entity, in place of one file each, partitioned by the columns ``by`` (few values: stage, run, split).
+
+    Rows whose ``required`` columns are null, or arrays or texts without content, are left out; no ``path`` writes nothing.
+    """
+    if not path:
+        return
     for c in required or []:
-        df = df.where(F.size(F.coalesce(F.col(c), F.array())) > 0)
-    df.write.mode(mode).parquet(path)
+        kind = dict(df.dtypes)[c]
+        df = df.where(F.col(c).isNotNull() & ((F.size(c) > 0) if kind.startswith(("array", "map")) else (F.col(c) != "") if kind == "string" else F.lit(True)))
+    w = df.write.mode(mode)
+    (w.partitionBy(*by) if by else w).parquet(path)
+
+
+def literal_tasks(spark: SparkSession, rows: list[dict]) -> DataFrame:
+    """A task table from dictionaries, absent keys null."""
+    fields = [f.split(" ")[0] for f in SCHEMAS["task"].split(", ")]
+    return spark.createDataFrame([tuple(r.get(f) for f in fields) for r in rows], SCHEMAS["task"])
 
 
-def read_tasks(spark: SparkSession, path: str, default_website: str = "duckduckgo.com") -> DataFrame:
-    """Task table with its aliases resolved at plan time: an absent column falls through, a null one stays null."""
+def read_tasks(spark: SparkSession, path: str, default_website: str = "duckduckgo.com", split: str | None = None) -> DataFrame:
+    """Task table with its aliases resolved at plan time: an absent column falls through, a null one stays null.
+
+    ``split``: rows of that value of a partition column ``split``, which prunes the others.
+    """
     fmt = "parquet" if path.rstrip("/").endswith(".parquet") else "json"
     t = spark.read.format(fmt).load(path)
+    if split is not None:
+        t = t.where(F.col("split") == split)
+    return resolve_tasks(t, default_website)
+
+
+def resolve_tasks(t: DataFrame, default_website: str = "duckduckgo.com") -> DataFrame:
+    """A task table under its canonical names: of several names for a field the first that is a column counts."""
 
     def pick(*names: str, default: str | None = None):
         for n in names:
