@@ -57,7 +57,7 @@ def judged_pages(observations: DataFrame, holds: str) -> DataFrame:
 
 def recurring(seen: DataFrame) -> DataFrame:
     """(thin) of the thin bodies that stand on several hosts."""
-    return seen.where("thin is not null").groupBy("thin").agg(F.approx_count_distinct("host").alias("hosts")).where(F.col("hosts") >= MIN_HOSTS).select("thin")
+    return seen.where("thin is not null").groupBy("thin").agg(F.count_distinct("host").alias("hosts")).where(F.col("hosts") >= MIN_HOSTS).select("thin")
 
 
 def residue_pages(observations: DataFrame) -> DataFrame:
