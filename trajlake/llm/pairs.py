@@ -11,15 +11,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from trajlake.llm.truncation import MIN_SPIKE, SPIKE_RATIO
-from trajlake.runtime import checkpoint, table
+from trajlake.runtime import checkpoint, table, written
 
 SOURCES = (("action", "actions", "action_id"), ("judgment", "judgments", "judgment_id"))
 
@@ -58,6 +59,8 @@ REFUSAL_CUES = re.compile(r"rather|cannot|can't|can not|unable|not able|not allo
 LANGUAGE_SETS = {k: frozenset(ws) for k, ws in FUNCTION_WORDS.items()}
 #: A reply that copies has at most so many words round the instruction.
 LEAD = 4
+#: Buckets of the hashes of all instructions, one byte each: a table of one size however many tasks there are.
+ASKED_BUCKETS = 1 << 21
 #: Letters and digits of the longest stand-in.
 LONGEST_STAND_IN = 10
 
@@ -76,9 +79,14 @@ def digest(words: list[str]) -> int:
 def copied_forms(words: list[str]) -> list[int]:
     """Hashes of the word runs of which the reply is a copy, if it is one: once between a few other words, or several times over."""
     n, out = len(words), []
+    joined = " ".join(words).encode()
+    starts, ends = [0], [len(joined)]
+    for k in range(min(LEAD, n - 1)):
+        starts.append(starts[-1] + len(words[k].encode()) + 1)
+        ends.append(ends[-1] - len(words[n - 1 - k].encode()) - 1)
     for lead in range(min(LEAD, n - 1) + 1):
         for tail in range(min(LEAD - lead, n - lead - 1) + 1):
-            out.append(digest(words[lead : n - tail]))
+            out.append(xxhash.xxh64_intdigest(joined[starts[lead] : ends[tail]]) - (1 << 63))
         m = n - lead
         again = next((j for j in range(lead + 1, n) if words[j] == words[lead] and words[j : j + 3] == words[lead : lead + 3]), n)
         unit = again - lead
@@ -171,16 +179,23 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 RULED = "src string, row_id long, task_id long, source string, len int, defect string, lang string, forms array<long>, loose string, sound string"
 
 
-def _rules(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        texts = b.column(4).to_pylist()
-        got = [judged(t) for t in texts]
-        kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string())
-        cols = {n: b.column(i) for i, n in enumerate(("src", "row_id", "task_id", "source"))}
-        cols["len"] = pa.array([len(t) if t is not None else 0 for t in texts], pa.int32())
-        cols |= {n: pa.array([g[i] for g in got], kinds[i]) for i, n in enumerate(("defect", "lang", "forms", "loose", "sound"))}
-        cols["half"] = pa.array([t is not None and t.count("```") < 2 and g[0] != "empty" for t, g in zip(texts, got)])
-        yield pa.record_batch(cols)
+def _rules(asked: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``asked``: one flag per bucket of instruction hashes; forms that fall in no flagged bucket are no copy of any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags, low = asked.value, ASKED_BUCKETS - 1
+        for b in batches:
+            texts = b.column(4).to_pylist()
+            got = [judged(t) for t in texts]
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.string(), pa.string())
+            cols = {n: b.column(i) for i, n in enumerate(("src", "row_id", "task_id", "source"))}
+            cols["len"] = pa.array([len(t) if t is not None else 0 for t in texts], pa.int32())
+            cols |= {n: pa.array([g[i] for g in got], kinds[i]) for i, n in enumerate(("defect", "lang", "forms", "loose", "sound")) if n != "forms"}
+            cols["forms"] = pa.array([[f for f in g[2] or () if flags[f & low]] or None for g in got], kinds[2])
+            cols["half"] = pa.array([t is not None and t.count("```") < 2 and g[0] != "empty" for t, g in zip(texts, got)])
+            yield pa.record_batch({n: cols[n] for n in ("src", "row_id", "task_id", "source", "len", "defect", "lang", "forms", "loose", "sound", "half")})
+
+    return run
 
 
 def _distinct_sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,7 +226,15 @@ def broken_pairs(replies_df: DataFrame, tasks: DataFrame) -> DataFrame:
     A null or blank response is empty; a reply whose task is missing or null is judged without it; equal texts under
     several ids each count; an empty table gives an empty result.
     """
-    ruled = checkpoint(replies_df.select("src", "row_id", "task_id", "source", "response").mapInArrow(_rules, RULED + ", half boolean"))
+    # copies and languages need the task: only its hash and language are joined
+    one_task = tasks.where("task_id is not null and instruction is not null").groupBy("task_id").agg(F.min("instruction").alias("instruction")).mapInArrow(_asked, "task_id long, asked long, asked_lang string")
+    one_task = written(one_task)
+    buckets = one_task.where("asked is not null").select(F.col("asked").bitwiseAND(ASKED_BUCKETS - 1).cast("int").alias("b")).distinct().toPandas().b.to_numpy()  # ASKED_BUCKETS rows at most
+    flags = bytearray(ASKED_BUCKETS)
+    for i in buckets:
+        flags[i] = 1
+    asked = replies_df.sparkSession.sparkContext.broadcast(bytes(flags))
+    ruled = checkpoint(replies_df.select("src", "row_id", "task_id", "source", "response").mapInArrow(_rules(asked), RULED + ", half boolean"))
     # loose ends: shortened versions by neighbouring prefixes, and rare ends at a source's length limit
     loose = ruled.where("loose is not null").select("src", "row_id", "source", "len", F.col("loose").alias("s"))
     whole = replies_df.where("response is not null").select("response").mapInArrow(_distinct_sentences, "s string")
@@ -229,11 +252,9 @@ def broken_pairs(replies_df: DataFrame, tasks: DataFrame) -> DataFrame:
     # a sound reply may have a limit's length: at a spike the last words must not be an ending other replies share
     spiked = spiked.withColumn("tail", tail).join(shared, "tail", "left_anti").select("src", "row_id")
     cut = by_text.union(spiked).distinct().select("src", "row_id", F.lit("truncated").alias("defect"))
-    # copies and languages need the task: only its hash and language are joined
-    one_task = tasks.where("task_id is not null and instruction is not null").groupBy("task_id").agg(F.min("instruction").alias("instruction")).mapInArrow(_asked, "task_id long, asked long, asked_lang string")
     open_rows = ruled.where("defect is null").select("src", "row_id", "task_id", "lang", "forms")
     paired = open_rows.join(one_task, "task_id")
-    kind = F.when(F.array_contains("forms", F.col("asked")), "copied").when(F.col("lang") != F.col("asked_lang"), "wrong_language")
+    kind = F.when(F.coalesce(F.array_contains("forms", F.col("asked")), F.lit(False)), "copied").when(F.col("lang") != F.col("asked_lang"), "wrong_language")
     judged_pairs = paired.select("src", "row_id", kind.alias("defect")).where("defect is not null").join(cut, ["src", "row_id"], "left_anti")
     return ruled.where("defect is not null").select("src", "row_id", "defect").union(cut).union(judged_pairs).distinct()
 
