@@ -47,6 +47,7 @@ STAND_INS = r"^(?:none|null|nil|n/?a|nan|undefined|empty|no ?(?:response|answer|
 
 
 WORD = re.compile(r"[^\W_]+")
+SOLID = re.compile(r"[^\W_]")
 SHELL = re.compile(r"```(?:json)?|</?[a-z]+>")
 EMPTY = re.compile(r"[{}\[\]\s]*|" + STAND_INS.strip("^$"))
 MARKED = re.compile("(?:…|\\.\\.\\.|\ufffd|\\[(?:…|\\.\\.\\.|cut|truncated)\\])$")
@@ -76,6 +77,18 @@ def digest(words: list[str]) -> int:
     return xxhash.xxh64_intdigest(" ".join(words)) - (1 << 63)
 
 
+def next_like(words: list[str], at: int) -> int:
+    """Where the three words at ``at`` stand again; the end where they do not."""
+    j, three = at, words[at : at + 3]
+    try:
+        while True:
+            j = words.index(three[0], j + 1)
+            if words[j : j + 3] == three:
+                return j
+    except ValueError:
+        return len(words)
+
+
 def copied_forms(words: list[str]) -> list[int]:
     """Hashes of the word runs of which the reply is a copy, if it is one: once between a few other words, or several times over."""
     n, out = len(words), []
@@ -88,13 +101,13 @@ def copied_forms(words: list[str]) -> list[int]:
         for tail in range(min(LEAD - lead, n - lead - 1) + 1):
             out.append(xxhash.xxh64_intdigest(joined[starts[lead] : ends[tail]]) - (1 << 63))
         m = n - lead
-        again = next((j for j in range(lead + 1, n) if words[j] == words[lead] and words[j : j + 3] == words[lead : lead + 3]), n)
+        again = next_like(words, lead)
         unit = again - lead
         if 2 * unit < m and m % unit == 0 and words[lead:] == words[lead:again] * (m // unit):
             out.append(digest(words[lead:again]))
         for again in range(min(LEAD - lead, m - 2) + 1):  # the lead may come again before the second copy
             size, odd = divmod(m - again, 2)
-            if not odd and size and words[lead : lead + size] == words[n - size :]:
+            if not odd and size and words[lead] == words[n - size] and words[lead : lead + size] == words[n - size :]:
                 out.append(digest(words[n - size :]))
     return out
 
@@ -105,6 +118,11 @@ def sentences(prose: str) -> list[str]:
 
 def says_nothing(response: str) -> bool:
     """Nothing stands in the reply but blanks, an empty shell or a stand-in; read as far as the first longer word reaches."""
+    start = response[:120]
+    if start.rfind("<") > start.rfind(">"):
+        start = start[: start.rfind("<")]
+    if len(SOLID.findall(SHELL.sub(" ", start))) > LONGEST_STAND_IN + 4:  # four letters of a fence's label may be cut off it
+        return False
     core, solid = [], 0
     for c in SHELL.sub(" ", response):
         if unicodedata.category(c)[0] not in "ZC":
