@@ -276,3 +276,11 @@ def test_every_split_sees_every_profile():
         total = sum(s * c for s, q, c in bundles if q == p)
         assert all(abs(rows[n, p] - x * total) <= 2 for n, x in shares)
     assert splits.min_cost_flow([3], [[[(1, 0), (2, 9)], [(3, 4)]]], [3, 3]) == [[1, 2]]
+
+
+def test_names_after_relations():
+    found = lambda t: [t[a:b] for a, b, k in pii.spans(t) if k == "NAME"]
+    for text, name in (("My colleague Maria Lopez rang.", "Maria Lopez"), ("Meine Kollegin Anna Schmidt rief an.", "Anna Schmidt"), ("Mi vecino Juan Pérez llegó.", "Juan Pérez"), ("Mon frère Luc Martin dort.", "Luc Martin"), ("I am Peter Weiss, hello", "Peter Weiss")):
+        assert found(text) == [name]
+    for text in ("My friend Green Lantern Press prints.", "The manager Monday came.", "A son of a gun.", "My brother Oak Lane is a street."):
+        assert found(text) == []

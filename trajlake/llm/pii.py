@@ -107,15 +107,20 @@ FULL = re.compile(
 )
 LOWER = re.compile(r"[a-zà-ÿ]{3,} [a-zà-ÿ]{3,}(?:-[a-zà-ÿ]{3,})*(?![\wà-ÿ])")
 ALONE = re.compile(rf"{SUR}(?![\wà-ÿ])")
-#: What stands before a name (1: any case may follow; 2: a title, a surname alone will do) and after it.
+#: What stands before a name (1: any case may follow; 2: a title, a surname alone will do; 3: a relation or an introduction, a given name and a surname must follow) and after it.
 BEFORE = {
     1: "Thanks to |signed by |Ask for |Posted by |Tenant: |is kept for |Kind regards, |Owner: |Owner |Mit freundlichen Grüßen, |Un saludo, |Cordialement, |Merci à |Dank an |Gracias a |est signée |est signée par |unterschrieben von |firmada por |"
     "Inhaber: |Inhaber |Inhaberin: |Inhaberin |Titular: |Titular |Responsable: |Responsable |Locataire : |Mieter: |Mieterin: |Inquilino: |Inquilina: |Publié par |Publicado por |Demandez |Pregunta por |Fragen Sie nach |Regards, |Sincerely, |Yours, |written by |reserviert für |réservée pour |réservée à |reservada para |contact person: ",
+    3: "colleague |neighbour |neighbor |friend |brother |sister |uncle |aunt |cousin |husband |wife |daughter |son |mother |father |manager |assistant |secretary |teacher |nurse |lawyer |my name is |I am |"
+    "collègue |voisin |voisine |ami |amie |frère |sœur |oncle |tante |mari |femme |fille |fils |mère |père |je m'appelle |s'appelle |Kollege |Kollegin |Nachbar |Nachbarin |Freund |Freundin |Bruder |Schwester |Onkel |Tante |Mutter |Vater |ich heiße |"
+    "heißt |namens |colega |vecino |vecina |amigo |amiga |hermano |hermana |tío |tía |marido |esposa |hija |hijo |madre |padre |me llamo |se llama ",
     2: "Mr. |Mrs. |Ms. |Dr. |Prof. |Mr |Mrs |Ms |Dr |Frau |Herrn |Herr |señora |señor |Sra. |Sr. |Madame |Monsieur |Mme |Mlle ",
 }
 AFTER = re.compile(
     r" (?:left a review|asked for a refund|wrote (?:a review|to us)|a laissé un avis|a demandé un remboursement|hat eine Bewertung|hat .{0,20}Erstattung|bat um|schrieb|dejó una (?:reseña|opinión)|pidió (?:un reembolso|la devolución)|a écrit|escribió)"
 )
+#: A pair of capitals after a relation is a name only without one of these in it.
+PLACES = re.compile(r"(?:Street|Road|Lane|Park|Hall|House|Club|Union|League|City|Town|County|University|College|Church|Press|Times|News|Day|Week|Prize|Award|Cup|Company|Store|Shop|Market|Hotel|Museum|Bank|Office|Team|Support)\b")
 NOT_NAMES = frozenset("the a an our your my all every everyone this that these those his her their its us them you it sale more details help price la le les el los las der die das den dem un une una ein eine velvet doctor baker".split())
 FIRMS = re.compile(r"^(?:,? (?:& |and )?(?:Sons|Ltd|Inc|GmbH|LLC|Co|SA|SARL|Council|Group|Bank|Street|Lane|Road|Blend|Pass|Holdings|Association|Museum|School|Hotel)\b| (?:&|Ltd|at the paint))")
 
@@ -198,12 +203,14 @@ def names(s: str, hits: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
     """Spans of names beside the cues ``hits``: (last offset, kind)."""
     for end, k in hits:
         i = end + 1
-        if 0 < k < 3:
+        if 0 < k < 4:
             t = TITLES.match(s, i)
             title = k == 2 or bool(t)
             if t:
                 i = t.end()
             m = FULL.match(s, i) or (LOWER.match(s, i) if k == 1 else None) or (ALONE.match(s, i) if title else None)
+            if m and k == 3 and not title and (" " not in m[0] or PLACES.search(m[0]) or PLACES.match(s, m.end() + 1)):
+                continue
             if m and m[0].split()[0].lower().strip(",") not in NOT_NAMES and not FIRMS.match(s, m.end()):
                 yield m.span()
         elif k < 0 and AFTER.match(s, i + k):
@@ -220,7 +227,7 @@ def scan(s: str) -> tuple[list[tuple[int, int]], set[int]]:
     hits, kinds, spelled = [], set(), 0
     for end, ks in CUES.iter(s):
         for k in ks:
-            if k < 3:
+            if k < 4:
                 hits.append((end, k))
             elif k == 7:
                 spelled += 1
