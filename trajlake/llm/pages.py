@@ -387,8 +387,12 @@ def residue(line: str) -> bool:
 PART = re.compile(r"(?<=[.!?])\s+(?=[A-ZÀ-Ü¿¡:])")
 
 
-#: A body that is nothing but an error message may say so many parts, and a third of them, in other words.
-OTHER_PARTS = 2
+#: A body that is nothing but an error message may say so many parts, and a third of them, in other words; so many words,
+#: addresses aside, make a statement of its own.
+OTHER_PARTS, OTHER_WORDS = 2, 10
+
+
+ADDRESS = re.compile(r"(?i)\bhttps?://\S+")
 
 
 def speaks_of_error(part: str) -> bool:
@@ -404,8 +408,9 @@ def body_verdict(body: list[str]) -> str:
         return "field"
     parts = [p for x in body for p in PART.split(unicodedata.normalize("NFKC", x)) if WORDS.search(p) or re.search(r"\d{3}", p)]
     other = 0
-    for p in parts:  # ends with the third part that speaks of something else
-        other += not speaks_of_error(p)
-        if other > OTHER_PARTS:
-            return "own"
+    for p in parts:  # ends with the third part that speaks of something else, or the first that says more
+        if not speaks_of_error(p):
+            other += 1
+            if other > OTHER_PARTS or len(WORDS.findall(ADDRESS.sub(" ", p))) > OTHER_WORDS:
+                return "own"
     return "error" if parts and 3 * other <= len(parts) else "own"
