@@ -42,7 +42,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(node, root) for edges (a, b): the root is the smallest node that can be reached.
 
     Large-star and small-star in turns until the edge set no longer changes; lineage is cut every round.
-    Hot nodes are safe: both steps are a hash aggregate for the minimum and an equi-join back.
+    Each step is a minimum, partly taken before its shuffle, and an equi-join with one row per node: the edges of a hub meet
+    one row, so that adaptive execution may split them over tasks.
     """
 
     def both(e: DataFrame) -> DataFrame:
