@@ -48,6 +48,8 @@ STAND_INS = r"^(?:none|null|nil|n/?a|nan|undefined|empty|no ?(?:response|answer|
 
 WORD = re.compile(r"[^\W_]+")
 SOLID = re.compile(r"[^\W_]")
+#: Five words or more; beyond twenty characters they hold more letters than any stand-in.
+PLAIN_START = re.compile(r"(?:[^\W_]+ ){5,8}")
 SHELL = re.compile(r"```(?:json)?|</?[a-z]+>")
 EMPTY = re.compile(r"[{}\[\]\s]*|" + STAND_INS.strip("^$"))
 MARKED = re.compile("(?:…|\\.\\.\\.|\ufffd|\\[(?:…|\\.\\.\\.|cut|truncated)\\])$")
@@ -92,6 +94,7 @@ def next_like(words: list[str], at: int) -> int:
 def copied_forms(words: list[str]) -> list[int]:
     """Hashes of the word runs of which the reply is a copy, if it is one: once between a few other words, or several times over."""
     n, out = len(words), []
+    ends_alike = words.count(words[-1])  # every copy has the same last word
     joined = " ".join(words).encode()
     starts, ends = [0], [len(joined)]
     for k in range(min(LEAD, n - 1)):
@@ -100,8 +103,10 @@ def copied_forms(words: list[str]) -> list[int]:
     for lead in range(min(LEAD, n - 1) + 1):
         for tail in range(min(LEAD - lead, n - lead - 1) + 1):
             out.append(xxhash.xxh64_intdigest(joined[starts[lead] : ends[tail]]) - (1 << 63))
+        if ends_alike < 2:
+            continue
         m = n - lead
-        again = next_like(words, lead)
+        again = next_like(words, lead) if ends_alike > 2 else n
         unit = again - lead
         if 2 * unit < m and m % unit == 0 and words[lead:] == words[lead:again] * (m // unit):
             out.append(digest(words[lead:again]))
@@ -118,6 +123,9 @@ def sentences(prose: str) -> list[str]:
 
 def says_nothing(response: str) -> bool:
     """Nothing stands in the reply but blanks, an empty shell or a stand-in; read as far as the first longer word reaches."""
+    plain = PLAIN_START.match(response)
+    if plain and plain.end() > 2 * LONGEST_STAND_IN:
+        return False
     start = response[:120]
     if start.rfind("<") > start.rfind(">"):
         start = start[: start.rfind("<")]
