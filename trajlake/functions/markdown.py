@@ -58,6 +58,10 @@ class Tree(HTMLParser):
         self.dropped = 0
         self.by_id: dict[str, Node] = {}
 
+    def updatepos(self, i: int, j: int) -> int:
+        """Line numbers are not needed."""
+        return j
+
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag in DROPPED:
             if tag not in ("link", "meta"):
@@ -133,14 +137,18 @@ def register(schema: Schema, priority: int | None = None, behaves_like: tuple[st
     return schema
 
 
-_BY_TAG: dict[str, list[Schema]] = {}
+_BY_TAG: dict[tuple[str, frozenset[str]], list[Schema]] = {}
+NO_NAMES: frozenset[str] = frozenset()
 
 
 def candidates(n: "Node") -> list[Schema]:
-    """Schemas that can match an element by its tag, or by any attribute, in order; cached by tag."""
-    got = _BY_TAG.get(n.tag)
+    """Schemas that can match an element by its tag or the names of its attributes, in order; cached."""
+    key = n.tag, frozenset(n.attrs) if n.attrs else NO_NAMES
+    got = _BY_TAG.get(key)
     if got is None:
-        got = _BY_TAG[n.tag] = [s for s in SCHEMAS if n.tag in s.tags or s.attributes]
+        if len(_BY_TAG) > 10_000:
+            _BY_TAG.clear()
+        got = _BY_TAG[key] = [s for s in SCHEMAS if n.tag in s.tags or not key[1].isdisjoint(s.attributes or ())]
     return got
 
 
@@ -192,7 +200,8 @@ class Page:
                         out.append(("text", c.strip(), None))
                     continue
                 before, d = c, self.data(c)
-                s = None if self.hidden(d) else next((s for s in candidates(c) if (allowed is None or s.name in allowed) and s.matches(c, d)), None)
+                fits = candidates(c)
+                s = None if not fits or self.hidden(d) else next((s for s in fits if (allowed is None or s.name in allowed) and s.matches(c, d)), None)
                 if s is None:
                     todo += [(around, rest, c), (c, iter(c.children), c)]
                     break
