@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from trajlake.functions.scalar import passes
+from trajlake.functions.scalar import passes, seeded_order
 
 RUN = ["task_id", "run_id"]
 SCORES = ("success", "efficiency", "self_correction")
@@ -129,3 +129,16 @@ def episodes(actions: DataFrame, max_actions: int, lost: str | None = None) -> D
     g = actions.where("task_id is not null").groupBy(*RUN).agg(F.min(F.when(stop, F.col("step_idx"))).alias("at"), F.max("step_idx").alias("last"), gone.alias("gone"))
     stopped = F.coalesce(F.col("at") < max_actions, F.lit(False))
     return g.select(*RUN, (stopped | F.col("gone")).alias("done"), (F.col("gone") | (~stopped & (F.col("last") >= max_actions - 1))).alias("truncated"), F.lit(0.0).alias("reward"))
+
+
+def strided(df: DataFrame, key: str, seed: int, world: int, digits: int = 2) -> DataFrame:
+    """(key, shard): every ``world``-th row of a seeded shuffle, from each rank on.
+
+    Ranks come from 16 ** ``digits`` hash ranges and their counts: no task sorts more than its range. Two digits suffice for
+    a hundred million rows, five for a hundred billion; the counts of all ranges are summed up in one small task.
+    """
+    t = df.select(key, seeded_order(seed, F.col(key)).alias("_k")).withColumn("_part", F.substring("_k", 1, digits))
+    counts = t.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    r = t.withColumn("_r", F.row_number().over(Window.partitionBy("_part").orderBy("_k", key))).join(before, "_part")
+    return r.select(key, F.pmod(F.col("_before") + F.col("_r") - 1, F.lit(world)).cast("long").alias("shard"))

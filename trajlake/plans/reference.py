@@ -383,13 +383,8 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT task_id, (row_number() OVER (ORDER BY md5('0-' || task_id), task_id) - 1) % 8 AS shard FROM tasks""")
 def shards(spark: SparkSession, d: str) -> DataFrame:
-    """Seeded shuffle and strided shards. Ranks come from hash ranges and their counts, so no task sorts the whole table."""
-    key = scalar.seeded_order(0, F.col("task_id"))
-    t = table(spark, d, "tasks").select("task_id", key.alias("k")).withColumn("part", F.substring("k", 1, 2))
-    counts = t.groupBy("part").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))  # 256 rows at most
-    r = t.withColumn("r", F.row_number().over(Window.partitionBy("part").orderBy("k", "task_id"))).join(F.broadcast(before), "part")
-    return r.select("task_id", F.pmod(F.coalesce("before", F.lit(0)) + F.col("r") - 1, F.lit(8)).cast("long").alias("shard"))
+    """Seeded shuffle and strided shards."""
+    return ops.strided(table(spark, d, "tasks").select("task_id"), "task_id", 0, 8)
 
 
 @query("""SELECT task_id FROM tasks ORDER BY md5('7-' || task_id), task_id LIMIT 100""")
