@@ -120,7 +120,7 @@ def test_pack(spark):
     assert packing.plan_in_buckets({8: 9, 5: 3, 0: 2}, 32) == ([(8, 0, 9, 0, 4), (5, 0, 3, 3, 6), (0, 0, 2, 4, 2)], 5)
 
 
-def test_leakage_against_brute_force(spark):
+def test_leakage_against_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(12)]
     items = [(i, " ".join(rng.choice(vocab) for _ in range(20))) for i in range(6)]
@@ -139,6 +139,9 @@ def test_leakage_against_brute_force(spark):
             if len(cov) * 2 >= len(v):
                 want.add((d, i))
     assert want and {(r.doc_id, r.item_id) for r in leakage.leaks(df, items).collect()} == want
+    monkeypatch.setattr(leakage, "ITEM_WORDS", 30)  # blocks of one item each
+    assert {(r.doc_id, r.item_id) for r in leakage.leaks(df, items).collect()} == want
+    assert leakage.leaks(df, []).count() == 0
     assert leakage.words("<b>Éc​ole</b> &amp; Ligne") == ["ecole", "ligne"]
 
 

@@ -13,6 +13,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from trajlake.runtime import table
 
 #: Words of an unbroken run, share of an item's words that must stand in such runs, and words of a shard.
 RUN, SHARE, SHARD_WORDS = 8, 0.5, 400_000
+#: Words of the test items that are searched for in one pass over the documents; more items take more passes.
+ITEM_WORDS = 1_000_000
 #: Every so many text positions one suffix position is kept.
 SAMPLE = 8
 
@@ -172,11 +175,23 @@ def leaks(documents: DataFrame, items: list[tuple[int, str]], spans: bool = Fals
     With ``spans`` instead (doc_id, item_id, first_word, last_word): the merged stretches to remove, in words of the
     document. Null and empty texts hold nothing; items of fewer than eight words are never found; copies count each.
     """
-    own = item_words([(i, t) for i, t in items if i is not None])
+    blocks: list[dict[int, list[str]]] = [{}]
+    held = 0
+    for i, w in item_words([(i, t) for i, t in items if i is not None]).items():
+        if held + len(w) > ITEM_WORDS and blocks[-1]:
+            blocks.append({})
+            held = 0
+        blocks[-1][i] = w
+        held += len(w)
+    return reduce(DataFrame.unionByName, [leaks_of(documents, own, spans) for own in blocks])
+
+
+def leaks_of(documents: DataFrame, own: dict[int, list[str]], spans: bool) -> DataFrame:
+    """:func:`leaks` of one block of items, given by their words."""
     vocab = {w: k + 1 for k, w in enumerate(sorted({w for ws in own.values() for w in ws}))}
     grid = phrase_table(own, vocab)
     length = {i: len(w) for i, w in own.items()}
-    # test items are a bounded set; vocabulary and phrases go to each task once
+    # vocabulary and phrases of a block go to each task once: at most ITEM_WORDS words and as many phrases
     shared = documents.sparkSession.sparkContext.broadcast((vocab, grid, length))
 
     def merge(docs: list) -> Iterator[pa.RecordBatch]:
